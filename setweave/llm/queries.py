@@ -1,6 +1,8 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
+from setweave.llm.chat import OP1_SQL, op1_chat
 from setweave.llm.near_dup import op4_near_dup
+from setweave.llm.tiles import op3_tiles
 
-QUERIES = {f.__name__: f for f in (op4_near_dup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat, op3_tiles, op4_near_dup)}
+ORACLES = {"op1_chat": OP1_SQL}
