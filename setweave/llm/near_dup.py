@@ -8,8 +8,9 @@ candidates, which the full sets confirm.
 
 Candidates are not all pairs of a bucket: each bucket first links its members to its smallest one; only where a bucket
 still spans several components are its members compared, by sketch and in tiles of a bounded size, and first each
-with its likeliest partner outside its component. What is left after that is verified pair by pair, so no link between
-components is lost; links inside a component no longer matter for the result.
+with its likeliest partner outside its component. What is left after that is verified inside the tile, on the texts of
+the members that still have candidates, so no link between components is lost and no pair becomes a row; links inside a
+component no longer matter for the result.
 
 Null texts, empty texts and texts without words have no shingles and link with nothing. Ties are settled by the
 smaller id. An empty table gives an empty result. Only the id and text columns are read. The id column must not hold
@@ -152,36 +153,77 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return known.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
 
-def _partners(best_only: bool):
-    def partners(group: pa.Table) -> pa.Table:
-        ids, comp = np.asarray(group["id"]), np.asarray(group["comp"])
-        side = np.asarray(group["side"])
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, BINS)
-        bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(-1, BANDS)
-        key = group["key"][0].as_py()
-        here = int(np.flatnonzero(bands[0] == key)[0])
-        two = side.max() != side.min()
-        names, count = np.unique(comp, return_counts=True)
-        largest = names[count.argmax()]
-        a: list[int] = []
-        b: list[int] = []
-        for i in np.flatnonzero(comp != largest):
-            ok = comp != comp[i]
-            if two:
-                ok &= side != side[i]
-            ok &= (comp == largest) | (ids > ids[i])
+class _Bucket:
+    """Members of a tile of one bucket, with the pairs that may link two of their components."""
+
+    def __init__(self, group: pa.Table):
+        self.ids, self.comp, self.side = (np.asarray(group[c]) for c in ("id", "comp", "side"))
+        self.sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, BINS)
+        self.bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(-1, BANDS)
+        self.here = int(np.flatnonzero(self.bands[0] == group["key"][0].as_py())[0])
+        self.two = self.side.max() != self.side.min()
+        names, count = np.unique(self.comp, return_counts=True)
+        self.largest = names[count.argmax()]
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(member, members of other components that may link with it, their estimates); each pair once."""
+        for i in np.flatnonzero(self.comp != self.largest):
+            ok = (self.comp != self.comp[i]) & ((self.comp == self.largest) | (self.ids > self.ids[i]))
+            if self.two:
+                ok &= self.side != self.side[i]
             j = np.flatnonzero(ok)
-            estimate = (sketch[j] == sketch[i]).mean(1)
-            if best_only:
-                j = j[[estimate.argmax()]] if len(j) and estimate.max() >= LEAST_ESTIMATE else j[:0]
-            else:
-                j = j[estimate >= LEAST_ESTIMATE]
-                j = j[(bands[j] == bands[i]).argmax(1) == here]  # a pair is named by the first band that has it
-            a += np.minimum(ids[j], ids[i]).tolist()
-            b += np.maximum(ids[j], ids[i]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return partners
+            estimate = (self.sketch[j] == self.sketch[i]).mean(1)
+            keep = estimate >= LEAST_ESTIMATE
+            yield int(i), j[keep], estimate[keep]
+
+    def first_here(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Those of j that meet i in no earlier band than this bucket's."""
+        return j[(self.bands[j] == self.bands[i]).argmax(1) == self.here]
+
+
+def _likeliest(group: pa.Table) -> pa.Table:
+    bucket, pairs = _Bucket(group), []
+    for i, j, estimate in bucket.candidates():
+        if len(j):
+            pairs.append(sorted((int(bucket.ids[i]), int(bucket.ids[j[estimate.argmax()]]))))
+    return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
+
+
+def _undecided(group: pa.Table) -> pa.Table:
+    """The members with a candidate that this bucket has to decide."""
+    bucket, some = _Bucket(group), np.zeros(group.num_rows, bool)
+    for i, j, _ in bucket.candidates():
+        j = bucket.first_here(i, j)
+        some[j] = True
+        some[i] |= len(j) > 0
+    return group.filter(pa.array(some))
+
+
+def _settle(group: pa.Table) -> pa.Table:
+    """Confirms candidates on full sets; links between components that this tile already joined aren't looked for again."""
+    bucket, sets = _Bucket(group), [None] * group.num_rows
+    for first, values, bound in shingle_sets(group["text"].to_pylist()):
+        for k in range(len(bound) - 1):
+            sets[first + k] = values[bound[k] : bound[k + 1]]
+    up: dict[int, int] = {}
+
+    def find(v):
+        while up.get(v, v) != v:
+            v = up[v]
+        return v
+
+    a, b = [], []
+    for i, j, _ in bucket.candidates():
+        for k in bucket.first_here(i, j).tolist():
+            u, v = find(int(bucket.comp[i])), find(int(bucket.comp[k]))
+            if u != v:
+                p, q = sets[i], sets[k]
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                if 100 * both >= PERCENT * (len(p) + len(q) - both):
+                    up[max(u, v)] = min(u, v)
+                    a.append(int(bucket.ids[i]))
+                    b.append(int(bucket.ids[k]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _unsettled(buckets: DataFrame, component: DataFrame) -> DataFrame:
@@ -219,16 +261,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.save(confirmed(stars, texts))
     buckets = buckets.select("key", "id")
     component = connected_components(links, scratch)
-    for best_only in (True, True, False):
-        rows = _tiled(_unsettled(buckets, component)).join(heads, "id")
-        found = rows.select("key", "lo", "hi", "id", "comp", "side", "sketch", "bands")
-        pairs = found.groupBy("key", "lo", "hi").applyInArrow(_partners(best_only), "a long, b long").distinct()
-        more = scratch.save(confirmed(pairs, texts))
+    tile, schema = ["key", "lo", "hi"], "key long, lo int, hi int, id long, comp long, side int, sketch binary, bands binary"
+    for last in (False, True):
+        rows = _tiled(_unsettled(buckets, component)).join(heads, "id").select(*[c.split()[0] for c in schema.split(", ")])
+        if last:
+            rows = scratch.save(rows.groupBy(*tile).applyInArrow(_undecided, schema)).join(texts, "id")
+            more = scratch.save(rows.groupBy(*tile).applyInArrow(_settle, "a long, b long"))
+        else:
+            more = scratch.save(confirmed(rows.groupBy(*tile).applyInArrow(_likeliest, "a long, b long").distinct(), texts))
         if not more.isEmpty():
             links = links.union(more)
             component = connected_components(links, scratch)
-        elif best_only:
-            continue
     out = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return signed.select("id", "n_shingles").join(out, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
