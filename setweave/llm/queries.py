@@ -2,9 +2,11 @@
 
 from setweave.llm.chat import OP1_SQL, op1_chat
 from setweave.llm.contamination import OP9_SQL, op9_contamination
+from setweave.llm.language import op8_language
 from setweave.llm.near_dup import op4_near_dup
 from setweave.llm.packing import op10_packing
+from setweave.llm.quality import op2_quality
 from setweave.llm.tiles import op3_tiles
 
-QUERIES = {f.__name__: f for f in (op1_chat, op3_tiles, op4_near_dup, op9_contamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_quality, op3_tiles, op4_near_dup, op8_language, op9_contamination, op10_packing)}
 ORACLES = {"op1_chat": OP1_SQL, "op9_contamination": OP9_SQL}
