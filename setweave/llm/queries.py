@@ -9,8 +9,9 @@ from setweave.llm.near_dup import op4_near_dup
 from setweave.llm.packing import op10_packing
 from setweave.llm.pii import op6_pii
 from setweave.llm.quality import op2_quality
+from setweave.llm.suffixes import op5_suffixes
 from setweave.llm.tiles import op3_tiles
 
-_ALL = (op1_chat, op2_quality, op3_tiles, op4_near_dup, op6_pii, op7_html, op8_language, op9_contamination, op10_packing)
+_ALL = (op1_chat, op2_quality, op3_tiles, op4_near_dup, op5_suffixes, op6_pii, op7_html, op8_language, op9_contamination, op10_packing)
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op1_chat": OP1_SQL, "op9_contamination": OP9_SQL}
