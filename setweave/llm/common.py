@@ -101,6 +101,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written below the shared folder: they cut lineage and outlive lost executors."""
 
@@ -111,7 +114,12 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.top}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_TIDY, None)
+        try:
+            self.spark.conf.set(_TIDY, "true")  # the exchanges of a table that is written are over with it
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(_TIDY) if before is None else self.spark.conf.set(_TIDY, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
