@@ -137,16 +137,16 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def costs(b: Block) -> tuple[float, float]:
-    """(cost of calling it boilerplate, cost of calling it content)."""
+def costs(b: Block, outside: bool = False) -> tuple[float, float]:
+    """(cost of calling it boilerplate, cost of calling it content); outside: the page has an article, and b isn't in it."""
     if b.bad:
         return 0.0, SURE
     if b.good:
         return SURE, 0.0
     size = len(b.text)
     linked = b.link / size
-    content = min(size, 400) / 80 + min(sum(b.text.count(c) for c in ".,;:!?"), 12) / 3
-    boiler = 1.5 + 8 * linked + (1.5 if size < 25 else 0)
+    content = 1.2 + min(size, 400) / 80 + min(sum(b.text.count(c) for c in ".,;:!?"), 12) / 3
+    boiler = 0.3 + 8 * linked + (0.6 if size < 25 else 0) + (12 if outside else 0)
     return content * (1 - linked), boiler
 
 
@@ -203,7 +203,8 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    terminal = [costs(b) for b in found]
+    article = any(b.good and not b.bad for b in found)
+    terminal = [costs(b, article and not b.good) for b in found]
     keep = content_side([a for a, _ in terminal], [b for _, b in terminal], [smoothness(a, b) for a, b in zip(found, found[1:], strict=False)])
     return "\n".join(b.text for b, ok in zip(found, keep, strict=True) if ok)
 
