@@ -226,12 +226,12 @@ def _settle(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _unsettled(buckets: DataFrame, component: DataFrame) -> DataFrame:
+def _unsettled(buckets: DataFrame, component: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (key, id, comp, n) of the buckets that span several components."""
     placed = buckets.join(component.withColumnRenamed("component", "comp"), "id", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "id"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    return placed.join(mixed.filter("lo < hi").select("key", "n"), "key")
+    return placed.join(scratch.save(mixed.filter("lo < hi").select("key", "n")), "key")
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
@@ -250,20 +250,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     signed = scratch.save(texts.mapInArrow(_sign, _SIGNED))
     full = signed.filter("n_shingles > 0")
-    same = full.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"))
-    members = scratch.save(full.select("id", "f1", "f2", "n_shingles").join(same, ["f1", "f2", "n_shingles"]).select("id", "rep"))
+    # groups are written before they meet their rows: the join then has exchanges of its own, whose hot keys can be split
+    same = full.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = full.select("id", "f1", "f2", "n_shingles").join(scratch.save(same), ["f1", "f2", "n_shingles"], "left")
+    members = scratch.save(members.select("id", F.coalesce("rep", "id").alias("rep")))
     reps = members.filter("id = rep").select("id")
     heads = scratch.save(full.select("id", "bands", "sketch").join(reps, "id"))
     exploded = heads.select("id", "bands").mapInArrow(_explode, "key long, id long")
     centre = exploded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    buckets = scratch.save(exploded.join(centre.drop("n"), "key"))
+    buckets = scratch.save(exploded.join(scratch.save(centre.drop("n")), "key"))
     stars = buckets.filter("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.save(confirmed(stars, texts))
     buckets = buckets.select("key", "id")
     component = connected_components(links, scratch)
     tile, schema = ["key", "lo", "hi"], "key long, lo int, hi int, id long, comp long, side int, sketch binary, bands binary"
     for last in (False, True):
-        rows = _tiled(_unsettled(buckets, component)).join(heads, "id").select(*[c.split()[0] for c in schema.split(", ")])
+        rows = _tiled(_unsettled(buckets, component, scratch)).join(heads, "id").select(*[c.split()[0] for c in schema.split(", ")])
         if last:
             rows = scratch.save(rows.groupBy(*tile).applyInArrow(_undecided, schema)).join(texts, "id")
             more = scratch.save(rows.groupBy(*tile).applyInArrow(_settle, "a long, b long"))
