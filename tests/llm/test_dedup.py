@@ -93,6 +93,15 @@ def test_repeats_against_brute_force(spark, monkeypatch, chunk):
     assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == removed(rows)
 
 
+def test_a_line_of_over_65535_equal_runs_in_one_document(spark):
+    line = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=39)) + "\n"
+    rows = [(1, f"{text(20)} {line}{line[:15]} {text(20)}"), (2, text(10) + line * 66_000), (3, text(30))]
+    got = suffixes.repeated(frame(spark, rows)).collect()
+    want = removed(rows)
+    assert want[2][1] > 65_535 * 40
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == want
+
+
 def test_suffix_order_is_that_of_the_bytes():
     rng = np.random.default_rng(7)
     buf = np.concatenate([rng.integers(97, 99, 400), np.full(200, 97), rng.integers(97, 99, 400)]).astype(np.uint8)
