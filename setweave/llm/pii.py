@@ -5,8 +5,8 @@ be an identifier, seed or not, is an instance with a lexical pattern: the folded
 are scored in turns in Spark: a pattern's score is the sum of its instances' scores over all occurrences of its word in
 the corpus (so that a common word is worth nothing), an instance's score is one less the product of its patterns' doubts,
 and seeds keep the score 1. Patterns with LEAST_SCORE and LEAST_SEEDS different seeds or found instances are sure, and the
-identifiers behind them are added as spans of kind `other`; base spans always stay. Occurrences of words are counted over
-all documents in a count sketch of fixed size, which can only make a pattern's score smaller.
+identifiers behind them are added as spans of kind `other`; base spans always stay. Occurrences of words are counted exactly, over
+all documents, for the words that are patterns.
 
 Null and empty texts have no spans. Repeated doc_ids share their added spans' patterns but not their rows. Only doc_id and
 text are read. An empty table gives an empty result. Offsets are code points, ends exclusive.
@@ -15,18 +15,18 @@ text are read. An empty table gives an empty result. Offsets are code points, en
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import NOT_BLANK, U64, Scratch, mix, sliced, words_of
+from setweave.llm.common import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_SCORE, LEAST_SEEDS = 3, 0.5, 5
-#: Rows and slots of the count sketch.
-DEPTH, WIDTH = 3, 1 << 19
+#: Different words that a task counts before it sends them on.
+HELD = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,50 +118,35 @@ def _find(batches):
         yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(base, _SPAN), pa.array(seen, _SEEN)], names=["row", "doc_id", "base", "seen"])
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return np.stack([(mix(hashes + U64(d * 0x632BE5AB)) % U64(WIDTH)).astype(np.int64) for d in range(DEPTH)])
-
-
 def _count_words(batches):
-    counts = np.zeros((DEPTH, WIDTH), np.int64)
-    for batch in batches:
-        for _, held in sliced(batch["text"].to_pylist()):
-            h = words_of(held, NOT_BLANK)[3]
-            for d, s in enumerate(slots(h)):
-                counts[d] += np.bincount(s, minlength=WIDTH)
-    parts = counts.reshape(64, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
-
-
-def _add(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, np.int64) for b in group["counts"].to_pylist())
-    return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    counts: Counter[str] = Counter()
 
+    def rows():
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
+        counts.clear()
+        return out
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    schema = "part int, counts binary"
-    parts = texts.select("text").mapInArrow(_count_words, schema).groupBy("part").applyInArrow(_add, schema).collect()
-    if not parts:
-        return np.zeros((DEPTH, WIDTH), np.int64)
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r.part)]).reshape(DEPTH, WIDTH)
-
+    for batch in batches:
+        for t in batch["text"].to_pylist():
+            if t:
+                counts.update(t.lower().split())
+                if len(counts) > HELD:
+                    yield rows()
+    yield rows()
 
-def _with_counts(counts: np.ndarray):
-    def with_counts(batches):
-        for batch in batches:
-            words = [(w or "").encode() for w in batch["pattern"].to_pylist()]
-            h = np.concatenate([words_of([w], NOT_BLANK)[3][:1] for w in words]) if words else np.zeros(0, U64)
-            n = np.min([counts[d][s] for d, s in enumerate(slots(h))], axis=0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_word"])
 
-    return with_counts
+def word_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, n_word): how often each of the patterns (distinct) is a word of the texts, folded as word_before does."""
+    words = texts.select("text").mapInArrow(_count_words, "pattern string, n long")
+    return words.groupBy("pattern").agg(F.sum("n").alias("n_word")).join(patterns, "pattern")
 
 
-def sure_patterns(found: DataFrame, counts: np.ndarray, scratch: Scratch) -> DataFrame:
-    """(pattern, score) after the rounds, from edges (pattern, value, seed, n)."""
+def sure_patterns(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(pattern, score) after the rounds, from edges (pattern, value, seed, n) and the words of the texts."""
     edges = found.select(F.explode("seen").alias("x")).select("x.*").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    words = edges.select("pattern").distinct().mapInArrow(_with_counts(counts), "pattern string, n_word long")
-    edges = scratch.save(edges.join(words, "pattern"))
+    edges = scratch.save(edges)
+    words = scratch.save(word_counts(texts, scratch.save(edges.select("pattern").distinct())))
+    edges = scratch.save(edges.join(words, "pattern", "left").withColumn("n_word", F.coalesce("n_word", F.lit(0).cast("long"))))
     values = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("fixed"))
     values = values.withColumn("score", F.col("fixed"))
     patterns = None
@@ -188,7 +173,7 @@ def personal_data(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     span = "array<struct<start:long,end:long,kind:string>>"
     seen = "array<struct<start:long,end:long,pattern:string,value:string,seed:boolean>>"
     found = scratch.save(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_find, f"row long, doc_id long, base {span}, seen {seen}"))
-    patterns = sure_patterns(found, word_counts(texts), scratch)
+    patterns = sure_patterns(found, texts, scratch)
     new = found.select("row", F.explode("seen").alias("x")).select("row", "x.*").filter("not seed").join(patterns, "pattern")
     new = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("other").alias("kind"))).alias("new"))
     out = found.join(new, "row", "left").withColumn("new", F.coalesce("new", F.array().cast(span)))

@@ -139,6 +139,16 @@ def test_contexts_are_learned_from_seeds(spark):
     assert pii.personal_data(docs(spark, [])).count() == 0
 
 
+def test_contexts_are_counted_exactly_however_many_words_there_are(spark):
+    texts = [f"Phone: +1 (505) 555-{1000 + k} today" for k in range(8)] + ["phone: 5055550199 ext"]
+    many = spark.range(100, 500).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 25000), x -> translate(hex(xxhash64(id, x)), '0123456789', 'ghijklmnop')), ' ') AS text")
+    found = pii.personal_data(docs(spark, texts).select("doc_id", "text").union(many)).filter("doc_id = 8").first()
+    assert [(s.start, s.end, s.kind) for s in found.spans] == [(7, 17, "other")]
+    words = spark.createDataFrame([("été",), ("b",), ("never",)], "pattern string")
+    got = pii.word_counts(docs(spark, ["ÉTÉ b\u2003été B, b", None, "", "B"]), words).collect()
+    assert {r.pattern: r.n_word for r in got} == {"été": 2, "b": 3}
+
+
 # --- pages ---
 
 
