@@ -6,7 +6,7 @@ skip length - 1 words, and one that ends a pattern selects the bucket of its pat
 one by one with the text's. Hashes only choose; bytes decide.
 
 Patterns are sent to the tasks in groups of at most GROUP_BYTES of item text, whatever the number of items, and the
-hits of several groups are merged. Null or empty texts have no words; items without words, and those with a null id,
+hits of several groups are merged by row. Null or empty texts have no words; items without words, and those with a null id,
 can't occur; an empty benchmark leaves all documents clean. Repeated items count separately when their ids differ.
 Only ids and texts are read. Repeated or null doc_ids are kept as rows of their own.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import ALNUM_OR_HIGH, U64, mix, sliced, words_of
+from setweave.llm.common import ALNUM_OR_HIGH, U64, Scratch, mix, sliced, words_of
 
 WINDOW, GROUP_BYTES = 13, 16 << 20
 
@@ -82,8 +82,8 @@ def searchers(items: list[tuple[str, str | None]]) -> list[WuManber]:
 def _search(found: list[WuManber]):
     def search(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for first, held in sliced(batch.column(1).to_pylist()):
+            row, ids = batch.column(0), batch.column(1)
+            for first, held in sliced(batch.column(2).to_pylist()):
                 buf, start, end, h, bound = words_of(held, ALNUM_OR_HIGH)
                 word = lambda k, buf=buf, start=start, end=end: buf[start[k] : end[k]].tobytes()
                 blocks = {b: block_hashes(h, b) for b in {x.block for x in found}}
@@ -103,8 +103,8 @@ def _search(found: list[WuManber]):
                     spans.append([{"start": a, "end": b} for a, b in merged])
                     items.append(sorted(named))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(held)), pa.array(np.diff(bound), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                    names=["id", "n_words", "spans", "items"],
+                    [row.slice(first, len(held)), ids.slice(first, len(held)), pa.array(np.diff(bound), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+                    names=["row", "id", "n_words", "spans", "items"],
                 )
 
     return search
@@ -116,17 +116,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + total // group_bytes
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     if groups > 1:
-        texts = texts.withColumn("row", F.monotonically_increasing_id())
+        texts = Scratch(docs.sparkSession).save(texts)  # all groups see the same rows
     out = None
     for g in range(groups):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g) if groups > 1 else items
         search = _search(searchers([(r.item_id, r.text) for r in own.collect()]))
-        found = texts.select("id", "text").mapInArrow(search, "id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+        found = texts.mapInArrow(search, "row long, id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
         out = found if out is None else out.union(found)
     if groups > 1:
-        out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out
+        out = out.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return out.drop("row")
 
 
 def n_hit(spans):

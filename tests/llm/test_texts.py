@@ -48,6 +48,16 @@ def test_contamination_against_brute_force(spark, group_bytes):
         assert got[d].contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 20, 10])
+def test_contamination_keeps_rows_whose_ids_are_null_or_repeat(spark, group_bytes):
+    bench = spark.createDataFrame([(k, f"first{k} second{k} third{k}") for k in range(6)], "item_id long, text string")
+    rows = [(None, "first1 second1 third1 x"), (None, "clean"), (7, "a first2 second2 third2 first3 second3 third3"), (7, "b c"), (7, None), (8, "first5 second5 third5")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = contamination.judged(contamination.contamination(table, bench, group_bytes=group_bytes)).collect()
+    want = [(None, 4, 3, ["1"]), (None, 1, 0, []), (7, 7, 6, ["2", "3"]), (7, 2, 0, []), (7, 0, 0, []), (8, 3, 3, ["5"])]
+    assert sorted(((r.id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == sorted(want, key=str)
+
+
 # --- packing ---
 
 
