@@ -13,7 +13,8 @@ and checksum; rows that are repeated get places of their own. An empty table giv
 are read.
 
 Words are looked up in a table of the words met so far in the task, of at most CACHE entries; texts with characters
-outside Latin-1, for which normalisation could matter, go through the tokenizer whole.
+outside Latin-1, for which normalisation could matter, and those with the name of an added token go through the
+tokenizer whole.
 """
 
 from __future__ import annotations
@@ -41,9 +42,13 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^ \t-
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def markers(path: str) -> tuple[str, ...]:
+    """What the tokenizer reads as one token wherever it stands, in lower case."""
+    return tuple(t.content.lower() for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
 @lru_cache(maxsize=2)
@@ -61,9 +66,11 @@ def ids_of(texts: list[str], path: str, cache: dict[str, bytes]) -> list[bytes]:
     for i, t in enumerate(texts):
         try:
             t.encode("latin-1")
-            split.append(_PIECES.findall(t.lower()))
+            low = t.lower()
+            split.append(None if any(m in low for m in markers(path)) else _PIECES.findall(low))
         except UnicodeEncodeError:
             split.append(None)
+        if split[-1] is None:
             whole.append(i)
     new = [w for w in set().union(*(s for s in split if s)) if w not in cache]
     if len(cache) + len(new) > CACHE:

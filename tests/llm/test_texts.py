@@ -107,6 +107,18 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_added_tokens_are_encoded_as_the_plain_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["one <|endoftext|> two <|startoftext|>", "a<|EndOfText|>b", "<|endoftext|>é 漢", "<| endoftext |>", "one two"]
+    assert known.encode(texts[0], add_special_tokens=False).ids == [637, 49407, 1237, 49406]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs(spark, texts)).collect()}
+    ids = [[*known.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert got == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in enumerate(ids)}
+
+
 # --- personal data ---
 
 BASE = {
