@@ -1,4 +1,7 @@
-"""A corpus pipeline: five operators one after the other, each on all that the one before kept."""
+"""A corpus pipeline: five operators one after the other, each on all that the one before kept.
+
+Every row is a document of its own, also where its doc_id is null or repeats that of another row.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.llm import contamination, near_dup, packing, pii, quality
-from setweave.llm.common import Scratch
+from setweave.llm.common import KEY, Scratch, keyed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,16 +21,21 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    kept = near_dup.near_duplicates(docs).filter("id = component").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """The document with the smallest id of each group of near copies (any one of those that share it; null ids come last)."""
+    scratch = Scratch(spark)
+    docs = keyed(docs.select(COLUMNS), scratch)
+    found = near_dup.near_duplicates(docs, id_col=KEY, scratch=scratch).select(F.col("id").alias(KEY), "component")
+    found = found.join(docs.select(KEY, "doc_id"), KEY)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("x")).select(F.col(f"x.{KEY}"))
+    return docs.join(kept, KEY, "left_semi").select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = contamination.judged(found).filter("contaminated").select(F.col("id").alias("doc_id"))
-    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+    docs = keyed(docs.select(COLUMNS), Scratch(spark))
+    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY)
+    bad = contamination.judged(found).filter("contaminated").select(F.col("id").alias(KEY))
+    return docs.join(bad, KEY, "left_anti").select(COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

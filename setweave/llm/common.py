@@ -131,6 +131,15 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Names the rows of a table where ids may be null or repeat.
+KEY = "_row"
+
+
+def keyed(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """df, written with a number for each of its rows, so that all who read it see the same ones."""
+    return scratch.save(df.withColumn(KEY, F.monotonically_increasing_id()))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, limit: int = 100) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import Scratch
+from setweave.llm.common import KEY, Scratch, keyed
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_SCORE, LEAST_SEEDS = 3, 0.5, 5
@@ -163,16 +163,17 @@ def sure_patterns(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
     return patterns
 
 
-def personal_data(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def personal_data(docs: DataFrame, scratch: Scratch | None = None, row_col: str | None = None) -> DataFrame:
     """(row, doc_id, base, spans): base spans and all spans as array<struct<start, end, kind>>, one row for each row of docs.
 
-    row names the input's rows; it follows from their place and isn't stable between reads.
+    row names the input's rows: row_col if given; else it follows from their place and isn't stable between reads.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row = (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
     span = "array<struct<start:long,end:long,kind:string>>"
     seen = "array<struct<start:long,end:long,pattern:string,value:string,seed:boolean>>"
-    found = scratch.save(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_find, f"row long, doc_id long, base {span}, seen {seen}"))
+    found = scratch.save(texts.mapInArrow(_find, f"row long, doc_id long, base {span}, seen {seen}"))
     patterns = sure_patterns(found, texts, scratch)
     new = found.select("row", F.explode("seen").alias("x")).select("row", "x.*").filter("not seed").join(patterns, "pattern")
     new = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("other").alias("kind"))).alias("new"))
@@ -195,9 +196,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; doc_ids must not repeat."""
-    spans = personal_data(docs, scratch).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans")).filter(F.size("_spans") > 0)
-    held = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left")
+    """docs with every span of text replaced by its kind in brackets; doc_ids may be null or repeat."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    held = keyed(docs, scratch)
+    spans = personal_data(held, scratch, KEY).select(F.col("row").alias(KEY), F.col("spans").alias("_spans")).filter(F.size("_spans") > 0)
+    held = held.join(spans, KEY, "left")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

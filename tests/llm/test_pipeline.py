@@ -123,6 +123,20 @@ def test_stages_against_plain_versions(spark, tmp_path):
         assert at <= 4096
 
 
+def test_rows_with_null_and_repeated_ids_are_documents_of_their_own(spark, tmp_path):
+    item, one, two, three = prose(30), prose(60), prose(60), prose(60)
+    dirty = f"{prose(20)} {item} {prose(20)}"
+    folder = put(spark, tmp_path, [], [], [(1, item)])
+    mail = "write to a.b@c.de today"
+    rows = [(9, one), (3, one), (None, one), (None, two), (4, three), (4, three), (4, mail), (4, f"or {mail}, {prose(9)}"), (None, f"{mail} {prose(9)}"), (None, dirty), (6, dirty + "!"), (6, prose(40))]
+    table = spark.createDataFrame([(d, t, "aa", "x", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda rows: sorted(rows, key=str)
+    pairs = lambda df: order((r.doc_id, r.text) for r in df.collect())
+    assert pairs(corpus_pipeline.near_duplicates(spark, table, folder)) == order([rows[1], *rows[3:5], *rows[6:9], *rows[10:]])
+    assert pairs(corpus_pipeline.decontaminate(spark, table, folder)) == order([*rows[:9], rows[11]])
+    assert pairs(corpus_pipeline.redact(spark, table, folder)) == order((d, without_data(t)) for d, t in rows)
+
+
 def test_every_stage_takes_an_empty_table(spark, tmp_path):
     folder = put(spark, tmp_path, [], [], [])
     docs = spark.read.parquet(f"{folder}/documents.parquet")
