@@ -1,32 +1,37 @@
 """PII (operator 6): base patterns, then bootstrapped contextual extraction.
 
-The base kinds (email, ip, card, phone) are found by their patterns. Their entities are the seeds. Every token that could
-be an identifier, seed or not, is an instance with a lexical pattern: the folded word before it. Pattern-instance edges
-are scored in turns in Spark: a pattern's score is the sum of its instances' scores over all occurrences of its word in
-the corpus (so that a common word is worth nothing), an instance's score is one less the product of its patterns' doubts,
-and seeds keep the score 1. Patterns with LEAST_SCORE and LEAST_SEEDS different seeds or found instances are sure, and the
-identifiers behind them are added as spans of kind `other`; base spans always stay. Occurrences of words are counted exactly, over
-all documents, for the words that are patterns.
-
-Null and empty texts have no spans. Repeated doc_ids share their added spans' patterns but not their rows. Only doc_id and
-text are read. An empty table gives an empty result. Offsets are code points, ends exclusive.
+The base kinds (email, ip, card, phone) are found by their patterns. They are seeds, as are tokens whose shape no word has:
+long hexadecimal or mixed strings. Instances are the seeds and all other tokens that could be identifiers (SHAPE). A
+lexical pattern is the run of one to GRAMS tokens, words or punctuation marks, before an instance or after it, so an instance
+has up to 2 * GRAMS patterns. In the pattern-instance graph, a pattern's score is the share of all its occurrences in the
+corpus that stand beside known instances; a pattern that scores over LEAST_SCORE with LEAST_SEEDS different known instances
+is sure, and makes the instances beside it known. Spark repeats this until no more patterns become sure. Instances beside sure
+patterns are added as spans of kind `other`; base spans always stay.
+
+Occurrences of patterns are counted exactly, over all documents; a filter of fixed size only leaves out runs of tokens
+that no pattern has. Tokens are compared by 64-bit hashes, with A-Z folded; words of any length and blanks of any length count.
+
+Null and empty texts have no spans. Rows are told apart by their place, not by doc_id, so null and repeated doc_ids are
+documents of their own. Only doc_id and text are read. An empty table gives an empty result. Offsets are code points, ends
+exclusive; spans that share a start are ordered by kind.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import KEY, Scratch, keyed
+from setweave.llm.common import KEY, LOWER, U64, Scratch, keyed, mix, prefix_hashes, sliced, substring_hash
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, LEAST_SCORE, LEAST_SEEDS = 3, 0.5, 5
-#: Different words that a task counts before it sends them on.
-HELD = 200_000
+GRAMS, LEAST_SCORE, LEAST_SEEDS = 3, 0.5, 5
+#: 64-bit words of the filter of patterns (2 MB); sure patterns (8 bytes each) up to which tasks are sent them.
+FILTER, SENT = 1 << 18, 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +40,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_TOKEN = re.compile(r"[A-Za-z0-9@._%+\-]*[0-9@][A-Za-z0-9@._%+\-]*")
+_MAY = re.compile(r"[0-9@]")
+#: What makes a run of at least 6 of these characters an instance: a digit, an @ or a capital after a small letter.
+_RUN = re.compile(r"[A-Za-z0-9@._%+\-]{6,}+")
+SHAPE = re.compile(r"[0-9@]|[a-z][A-Z]")
+_WORD = np.zeros(256, bool)
+_WORD[48:58] = _WORD[97:123] = _WORD[65:91] = _WORD[128:] = True
+_WORD[95] = True
+_MARK = ~_WORD
+_MARK[:33] = _MARK[127] = False
 
 
 def luhn(digits: str) -> bool:
@@ -74,116 +87,216 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def word_before(text: str, start: int) -> str:
-    """The word before start, whatever blanks lie between; a word is looked for in at most 64 characters."""
-    left = text[max(0, start - 64) : start].split()
-    return left[-1].lower() if left else ""
+def is_seed(token: str) -> bool:
+    """Whether its shape alone says that it is no word: 32 hexadecimal digits or more, or 20 of both cases with digits."""
+    bare = token.replace("-", "")
+    digits = sum(c.isdigit() for c in bare)
+    if digits < 4 or len(bare) - digits < 4 or not bare.isalnum():
+        return False
+    if len(bare) >= 32 and not bare.lower().strip("0123456789abcdef"):
+        return True
+    return len(bare) >= 20 and any(c.isupper() for c in bare) and any(c.islower() for c in bare)
 
 
-def instances(text: str, base: list[tuple[int, int, str]]):
-    """(start, end, word before, value, seed) of base spans and of other tokens that may be identifiers."""
-    end = 0
-    covered = []
-    for s, e, _ in sorted(base):
+def instances(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, bool]]:
+    """(start, end, of a base kind, seed) of base spans that don't overlap and of the other tokens that may be identifiers."""
+    out, spans, end = [], sorted((s, e) for s, e, _ in base), 0
+    for s, e in spans:
         if s >= end:
-            covered.append((s, e))
-            yield s, e, word_before(text, s), text[s:e], True
+            out.append((s, e, True, True))
         end = max(end, e)
-    spans, k = sorted((s, e) for s, e, _ in base), 0
-    reach = 0
-    for m in _TOKEN.finditer(text):
-        s, e = m.span()
+    if not SHAPE.search(text):
+        return out
+    k = reach = 0
+    for m in _RUN.finditer(text):
+        token = m.group().rstrip("._%+-")
+        s = m.start() + len(token) - len(token.lstrip("._%-"))
+        e = m.start() + len(token)
         while k < len(spans) and spans[k][0] < e:
             reach = max(reach, spans[k][1])
             k += 1
-        if reach <= s and e - s >= 6 and sum(c.isdigit() for c in m.group()) >= 4:
-            yield s, e, word_before(text, s), m.group().lower(), False
+        if reach <= s and e - s >= 6 and SHAPE.search(text, s, e):
+            out.append((s, e, False, is_seed(text[s:e])))
+    return out
+
+
+def grams(texts: list[bytes]):
+    """(starts of the tokens, first token of each text and the total, GRAMS rows: hash of the n tokens up to each, 0 where there aren't as many)."""
+    buf = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    word = np.zeros(len(buf) + 1, np.int8)
+    word[1:] = _WORD[buf]
+    step = np.diff(word)
+    marks = np.flatnonzero(_MARK[buf])
+    start = np.concatenate([np.flatnonzero(step == 1), marks])
+    end = np.concatenate([np.flatnonzero(step == -1), marks + 1])
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    h = mix(substring_hash(prefix_hashes(buf), start, end) + (end - start).astype(U64))
+    offset = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=offset[1:])
+    bound = np.searchsorted(start, offset)
+    nth = np.arange(len(h)) - np.repeat(bound[:-1], np.diff(bound))
+    out, run = np.zeros((GRAMS, len(h)), U64), np.zeros(len(h), U64)
+    for n in range(GRAMS):
+        before = np.zeros(len(h), U64)
+        before[n:] = h[: len(h) - n]
+        run = mix(run * U64(0x9E3779B97F4A7C15) + before + U64(n + 1))
+        out[n] = np.where(nth >= n, run | U64(1), U64(0))
+    return start, bound, out, offset
+
+
+def char_starts(raw: bytes) -> np.ndarray | None:
+    """Byte offsets of the characters and the end; None if they are the same."""
+    b = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero((b & 0xC0) != 0x80)
+    return None if len(at) == len(b) else np.append(at, len(b))
+
+
+def found_in(texts: list[str | None]):
+    """Of each text: base spans (start, end, kind), and its instances (start, end, of a base kind, seed, value, patterns)."""
+    base = [base_spans(t) if t and _MAY.search(t) else [] for t in texts]
+    own = [instances(t, b) if t else [] for t, b in zip(texts, base, strict=True)]
+    seen: list[list] = [[] for _ in texts]
+    some = [i for i, x in enumerate(own) if x]
+    for first, held in sliced(texts[i] for i in some):
+        start, bound, run, offset = grams(held)
+        for k, raw in enumerate(held):
+            i = some[first + k]
+            at = char_starts(raw)
+            x = np.array([(s, e) for s, e, *_ in own[i]])
+            x = (at[x] if at is not None else x) + offset[k]
+            left = np.searchsorted(start, x[:, 0]) - 1  # the last token that begins before the instance
+            right = np.searchsorted(start, x[:, 1])  # the first that begins after it
+            beside = np.zeros((len(x), 2 * GRAMS), U64)
+            ok = left >= bound[k]
+            for n in range(GRAMS):
+                beside[ok, n] = run[n, left[ok]]
+                last = right + n
+                fits = last < bound[k + 1]
+                beside[fits, GRAMS + n] = run[n, last[fits]] ^ U64(1 << 63)
+            beside = beside.view(np.int64).tolist()
+            t = texts[i]
+            seen[i] = [(s, e, b, d, int.from_bytes(blake2b(t[s:e].lower().encode(), digest_size=8).digest(), "little", signed=True), [p for p in g if p]) for (s, e, b, d), g in zip(own[i], beside, strict=True)]
+    return base, seen
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
-_MAY = re.compile(r"[0-9@]")
+_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("seed", pa.bool_()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
+SPANS = "array<struct<start:long,end:long,kind:string>>"
+SEEN = "array<struct<start:long,end:long,base:boolean,seed:boolean,value:long,patterns:array<long>>>"
 
 
 def _find(batches):
     for batch in batches:
-        base, seen = [], []
-        for t in batch["text"].to_pylist():
-            own, more = [], []
-            if t and _MAY.search(t):
-                own = base_spans(t)
-                more = [dict(zip(("start", "end", "pattern", "value", "seed"), x, strict=True)) for x in instances(t, own) if x[2]]
-            base.append([{"start": s, "end": e, "kind": k} for s, e, k in own])
-            seen.append(more)
+        base, seen = found_in(batch["text"].to_pylist())
+        base = [[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in base]
+        seen = [[dict(zip(("start", "end", "base", "seed", "value", "patterns"), x, strict=True)) for x in own] for own in seen]
         yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(base, _SPAN), pa.array(seen, _SEEN)], names=["row", "doc_id", "base", "seen"])
 
 
-def _count_words(batches):
-    counts: Counter[str] = Counter()
+#: The run of tokens that a pattern is, whichever side it stands on.
+_RUN_OF = lambda c: F.col(c).bitwiseOR(F.lit(-(1 << 63)))
 
-    def rows():
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
-        counts.clear()
-        return out
 
-    for batch in batches:
-        for t in batch["text"].to_pylist():
-            if t:
-                counts.update(t.lower().split())
-                if len(counts) > HELD:
-                    yield rows()
-    yield rows()
+def run_counts(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, n_run): how often each of the runs (distinct hashes, top bit set) stands in the texts."""
+    spot = F.pmod("run", F.lit(FILTER))
+    bit = F.call_function("shiftleft", F.expr("1L"), F.pmod(F.shiftright("run", 18), F.lit(64)).cast("int"))
+    words = runs.groupBy(spot.alias("at")).agg(F.bit_or(bit).alias("bits")).collect()  # FILTER rows at most
+    table = np.zeros(FILTER, np.int64)
+    for r in words:
+        table[r["at"]] = r["bits"]
+    sent = texts.sparkSession.sparkContext.broadcast(table)
 
+    def count(batches):
+        known = sent.value.view(U64)
+        for batch in batches:
+            for _, held in sliced(batch["text"].to_pylist()):
+                run = grams(held)[2].reshape(-1)
+                run = run[run != 0] | U64(1 << 63)
+                run = run[(known[(run & U64(FILTER - 1)).astype(np.int64)] >> ((run >> U64(18)) & U64(63))) & U64(1) == 1]
+                names, n = np.unique(run, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n, pa.int64())], names=["run", "n"])
 
-def word_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, n_word): how often each of the patterns (distinct) is a word of the texts, folded as word_before does."""
-    words = texts.select("text").mapInArrow(_count_words, "pattern string, n long")
-    return words.groupBy("pattern").agg(F.sum("n").alias("n_word")).join(patterns, "pattern")
+    counted = texts.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n_run"))
+    return counted.join(runs, "run")
 
 
 def sure_patterns(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(pattern, score) after the rounds, from edges (pattern, value, seed, n) and the words of the texts."""
-    edges = found.select(F.explode("seen").alias("x")).select("x.*").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    edges = scratch.save(edges)
-    words = scratch.save(word_counts(texts, scratch.save(edges.select("pattern").distinct())))
-    edges = scratch.save(edges.join(words, "pattern", "left").withColumn("n_word", F.coalesce("n_word", F.lit(0).cast("long"))))
-    values = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("fixed"))
-    values = values.withColumn("score", F.col("fixed"))
-    patterns = None
-    for k in range(ROUNDS):
-        weighed = edges.join(values.select("value", "score"), "value").groupBy("pattern").agg(
-            F.sum(F.col("score") * F.col("n")).alias("mass"), F.max("n_word").alias("n_word"), F.sum(F.when(F.col("score") >= LEAST_SCORE, 1).otherwise(0)).alias("support")
-        )
-        weighed = weighed.withColumn("score", F.least(F.col("mass") / F.greatest("n_word", F.lit(1)), F.lit(1.0)))
-        patterns = scratch.save(weighed.filter((F.col("score") >= LEAST_SCORE) & (F.col("support") >= LEAST_SEEDS)).select("pattern", "score"))
-        if k + 1 < ROUNDS:
-            doubts = edges.join(patterns, "pattern").groupBy("value").agg(F.sum(F.log(F.lit(1.0 + 1e-9) - F.col("score"))).alias("doubt"))
-            scored = values.select("value", "fixed").join(doubts, "value", "left")
-            values = scratch.save(scored.withColumn("score", F.greatest("fixed", F.coalesce(1 - F.exp("doubt"), F.lit(0.0)))))
-    return patterns
-
-
-def personal_data(docs: DataFrame, scratch: Scratch | None = None, row_col: str | None = None) -> DataFrame:
-    """(row, doc_id, base, spans): base spans and all spans as array<struct<start, end, kind>>, one row for each row of docs.
-
-    row names the input's rows: row_col if given; else it follows from their place and isn't stable between reads.
-    """
-    scratch = scratch or Scratch(docs.sparkSession)
+    """(pattern, score) of those that are sure once no more become so."""
+    edges = found.select(F.explode("seen").alias("x")).select(F.col("x.value").alias("value"), F.col("x.seed").alias("seed"), F.explode("x.patterns").alias("pattern"))
+    edges = scratch.save(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
+    # a pattern with fewer different instances can't become sure
+    may = scratch.save(edges.groupBy("pattern").agg(F.count("*").alias("support")).filter(F.col("support") >= LEAST_SEEDS).select("pattern", _RUN_OF("pattern").alias("run")))
+    counted = scratch.save(run_counts(texts, may.select("run").distinct()))
+    patterns = scratch.save(may.join(counted, "run").select("pattern", "n_run"))
+    edges = scratch.save(edges.join(patterns, "pattern").select("pattern", "value", "seed", "n"))
+    known = scratch.save(edges.filter("seed").select("value").distinct())
+    sure, before = None, -1
+    while True:
+        beside = edges.join(known, "value", "left_semi").groupBy("pattern").agg(F.sum("n").alias("mass"), F.count("*").alias("support"))
+        scored = beside.join(patterns, "pattern").select("pattern", "support", (F.col("mass") / F.col("n_run")).alias("score"))
+        sure = scratch.save(scored.filter((F.col("score") > LEAST_SCORE) & (F.col("support") >= LEAST_SEEDS)).select("pattern", "score"))
+        n = sure.count()  # known instances only become more, and so do sure patterns
+        if n == before:
+            return sure
+        before = n
+        known = scratch.save(known.union(edges.join(sure, "pattern", "left_semi").select("value")).distinct())
+
+
+def _sent(sure: DataFrame, limit: int) -> np.ndarray | None:
+    """The sure patterns, sorted, if there are at most limit of them."""
+    if sure.count() > limit:
+        return None
+    return np.array(sorted(r.pattern for r in sure.collect()), np.int64)
+
+
+def _among(patterns: list[int], sure: np.ndarray) -> bool:
+    if not len(sure) or not patterns:
+        return False
+    at = np.minimum(np.searchsorted(sure, patterns), len(sure) - 1)
+    return bool((sure[at] == patterns).any())
+
+
+def _learned(docs: DataFrame, scratch: Scratch, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     row = (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
-    span = "array<struct<start:long,end:long,kind:string>>"
-    seen = "array<struct<start:long,end:long,pattern:string,value:string,seed:boolean>>"
-    found = scratch.save(texts.mapInArrow(_find, f"row long, doc_id long, base {span}, seen {seen}"))
-    patterns = sure_patterns(found, texts, scratch)
-    new = found.select("row", F.explode("seen").alias("x")).select("row", "x.*").filter("not seed").join(patterns, "pattern")
-    new = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("other").alias("kind"))).alias("new"))
-    out = found.join(new, "row", "left").withColumn("new", F.coalesce("new", F.array().cast(span)))
+    found = scratch.save(texts.mapInArrow(_find, f"row long, doc_id long, base {SPANS}, seen {SEEN}"))
+    return found, sure_patterns(found, texts, scratch)
+
+
+def _spans_of(found: DataFrame, sure: DataFrame, limit: int) -> DataFrame:
+    """(row, doc_id, base, spans) of the rows found."""
+    sent = _sent(sure, limit)
+    if sent is not None:
+
+        def add(batches):
+            for batch in batches:
+                new = [[{"start": x["start"], "end": x["end"], "kind": "other"} for x in own if not x["base"] and _among(x["patterns"], sent)] for own in batch["seen"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["base"], pa.array(new, _SPAN)], names=["row", "doc_id", "base", "new"])
+
+        out = found.mapInArrow(add, f"row long, doc_id long, base {SPANS}, new {SPANS}")
+    else:
+        new = found.select("row", F.explode("seen").alias("x")).filter("not x.base").select("row", "x.start", "x.end", F.explode("x.patterns").alias("pattern"))
+        new = new.join(sure, "pattern", "left_semi").select("row", "start", "end").distinct()
+        new = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("other").alias("kind"))).alias("new"))
+        out = found.join(new, "row", "left").withColumn("new", F.coalesce("new", F.array().cast(SPANS)))
     order = F.array(*[F.lit(k) for k in (*KINDS, "other")])
     key = lambda s: F.struct(s.start.alias("start"), F.array_position(order, s.kind).alias("k"), s.end.alias("end"), s.kind.alias("kind"))
     spans = F.transform(F.array_sort(F.transform(F.concat("base", "new"), key)), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
     return out.select("row", "doc_id", "base", spans.alias("spans"))
 
 
+def personal_data(docs: DataFrame, scratch: Scratch | None = None, row_col: str | None = None, sent: int = SENT) -> DataFrame:
+    """(row, doc_id, base, spans): base spans and all spans as array<struct<start, end, kind>>, one row for each row of docs.
+
+    row names the input's rows: row_col if given; else it follows from their place and isn't stable between reads. More sure
+    patterns than sent are joined to the instances instead of being sent to the tasks; the result is the same.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    return _spans_of(*_learned(docs, scratch, row_col), sent)
+
+
 def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
@@ -195,21 +308,39 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; doc_ids may be null or repeat."""
+def redacted(docs: DataFrame, scratch: Scratch | None = None, sent: int = SENT) -> DataFrame:
+    """docs with every span of text replaced by its kind in brackets; doc_ids may be null or repeat.
+
+    Where the sure patterns can be sent to the tasks, the texts are read again and not shuffled.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
-    held = keyed(docs, scratch)
-    spans = personal_data(held, scratch, KEY).select(F.col("row").alias(KEY), F.col("spans").alias("_spans")).filter(F.size("_spans") > 0)
-    held = held.join(spans, KEY, "left")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    _, sure = _learned(docs, scratch)
+    patterns = _sent(sure, sent)
+
+    def rewritten(batch, texts):
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names], names=names)
+
+    if patterns is not None:
+
+        def rewrite(batches):
+            for batch in batches:
+                texts = batch["text"].to_pylist()
+                base, seen = found_in(texts)
+                spans = [[(s, e, k) for s, e, k in b] + [(x[0], x[1], "other") for x in own if not x[2] and _among(x[5], patterns)] for b, own in zip(base, seen, strict=True)]
+                yield rewritten(batch, [cut_out(t, [{"start": s, "end": e, "kind": k} for s, e, k in x]) for t, x in zip(texts, spans, strict=True)])
+
+        return docs.mapInArrow(rewrite, schema)
+
+    held = keyed(docs, scratch)
+    spans = _spans_of(_learned(held, scratch, KEY)[0], sure, sent).select(F.col("row").alias(KEY), F.col("spans").alias("_spans")).filter(F.size("_spans") > 0)
 
-    def rewrite(batches):
+    def rewrite_joined(batches):
         for batch in batches:
-            texts = [cut_out(t, s) for t, s in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names], names=names)
+            yield rewritten(batch, [cut_out(t, s) for t, s in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), strict=True)])
 
-    return held.select(*names, "_spans").mapInArrow(rewrite, schema)
+    return held.join(spans, KEY, "left").select(*names, "_spans").mapInArrow(rewrite_joined, schema)
 
 
 def cut_out(text: str | None, spans: list[dict] | None) -> str | None:

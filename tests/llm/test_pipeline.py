@@ -103,7 +103,6 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert all(r.n_chars == (len(r.text) if r.text is not None else rows[r.doc_id][4]) for r in got)
 
     known = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    known.encode_special_tokens = True
     pieces, places = {}, defaultdict(list)
     for r in corpus_pipeline.run(spark, folder).collect():
         pieces[r.doc_id, r.piece] = (r.start, r.length, r.ids_crc32)
