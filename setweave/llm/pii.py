@@ -1,12 +1,12 @@
 """PII (operator 6): base patterns, then bootstrapped contextual extraction.
 
 The base kinds (email, ip, card, phone) are found by their patterns. They are seeds, as are tokens whose shape no word has:
-long hexadecimal or mixed strings. Instances are the seeds and all other tokens that could be identifiers (SHAPE). A
+long hexadecimal or mixed strings. Instances are the seeds and all other tokens with a digit or an @. A
 lexical pattern is the run of one to GRAMS tokens, words or punctuation marks, before an instance or after it, so an instance
 has up to 2 * GRAMS patterns. In the pattern-instance graph, a pattern's score is the share of all its occurrences in the
 corpus that stand beside known instances; a pattern that scores over LEAST_SCORE with LEAST_SEEDS different known instances
 is sure, and makes the instances beside it known. Spark repeats this until no more patterns become sure. Instances beside sure
-patterns are added as spans of kind `other`; base spans always stay.
+patterns, and tokens of letters in both cases there, are added as spans of kind `other`; base spans always stay.
 
 Occurrences of patterns are counted exactly, over all documents; a filter of fixed size only leaves out runs of tokens
 that no pattern has. Tokens are compared by 64-bit hashes, with A-Z folded; words of any length and blanks of any length count.
@@ -41,7 +41,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _MAY = re.compile(r"[0-9@]")
-#: What makes a run of at least 6 of these characters an instance: a digit, an @ or a capital after a small letter.
+#: Tokens are runs of at least 6 of these characters; those with a digit or an @ are instances, those of SHAPE may be found.
 _RUN = re.compile(r"[A-Za-z0-9@._%+\-]{6,}+")
 SHAPE = re.compile(r"[0-9@]|[a-z][A-Z]")
 _WORD = np.zeros(256, bool)
@@ -98,14 +98,14 @@ def is_seed(token: str) -> bool:
     return len(bare) >= 20 and any(c.isupper() for c in bare) and any(c.islower() for c in bare)
 
 
-def instances(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, bool]]:
-    """(start, end, of a base kind, seed) of base spans that don't overlap and of the other tokens that may be identifiers."""
+def instances(text: str, base: list[tuple[int, int, str]], shape: re.Pattern = _MAY) -> list[tuple[int, int, bool, bool]]:
+    """(start, end, of a base kind, seed) of base spans that don't overlap and of the other tokens of the shape."""
     out, spans, end = [], sorted((s, e) for s, e, _ in base), 0
     for s, e in spans:
         if s >= end:
             out.append((s, e, True, True))
         end = max(end, e)
-    if not SHAPE.search(text):
+    if not shape.search(text):
         return out
     k = reach = 0
     for m in _RUN.finditer(text):
@@ -115,7 +115,7 @@ def instances(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
         while k < len(spans) and spans[k][0] < e:
             reach = max(reach, spans[k][1])
             k += 1
-        if reach <= s and e - s >= 6 and SHAPE.search(text, s, e):
+        if reach <= s and e - s >= 6 and shape.search(text, s, e):
             out.append((s, e, False, is_seed(text[s:e])))
     return out
 
@@ -152,14 +152,13 @@ def char_starts(raw: bytes) -> np.ndarray | None:
     return None if len(at) == len(b) else np.append(at, len(b))
 
 
-def found_in(texts: list[str | None]):
-    """Of each text: base spans (start, end, kind), and its instances (start, end, of a base kind, seed, value, patterns)."""
-    base = [base_spans(t) if t and _MAY.search(t) else [] for t in texts]
-    own = [instances(t, b) if t else [] for t, b in zip(texts, base, strict=True)]
-    seen: list[list] = [[] for _ in texts]
+def located(texts: list[str | None], base: list[list], shape: re.Pattern = _MAY):
+    """Slices of the texts' instances: (their texts' numbers, instances, a row of up to 2 * GRAMS patterns for each, 0 where there is none)."""
+    own = [instances(t, b, shape) if t else [] for t, b in zip(texts, base, strict=True)]
     some = [i for i, x in enumerate(own) if x]
     for first, held in sliced(texts[i] for i in some):
         start, bound, run, offset = grams(held)
+        numbers, found, rows = [], [], []
         for k, raw in enumerate(held):
             i = some[first + k]
             at = char_starts(raw)
@@ -171,27 +170,40 @@ def found_in(texts: list[str | None]):
             ok = left >= bound[k]
             for n in range(GRAMS):
                 beside[ok, n] = run[n, left[ok]]
-                last = right + n
-                fits = last < bound[k + 1]
-                beside[fits, GRAMS + n] = run[n, last[fits]] ^ U64(1 << 63)
-            beside = beside.view(np.int64).tolist()
-            t = texts[i]
-            seen[i] = [(s, e, b, d, int.from_bytes(blake2b(t[s:e].lower().encode(), digest_size=8).digest(), "little", signed=True), [p for p in g if p]) for (s, e, b, d), g in zip(own[i], beside, strict=True)]
-    return base, seen
+                fits = right + n < bound[k + 1]
+                beside[fits, GRAMS + n] = run[n, right[fits] + n] ^ U64(1 << 63)
+            numbers += [i] * len(x)
+            found += own[i]
+            rows.append(beside)
+        yield numbers, found, np.concatenate(rows).view(np.int64)
+
+
+def bases(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+    return [base_spans(t) if t and _MAY.search(t) else [] for t in texts]
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("seed", pa.bool_()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
 SPANS = "array<struct<start:long,end:long,kind:string>>"
-SEEN = "array<struct<start:long,end:long,base:boolean,seed:boolean,value:long,patterns:array<long>>>"
 
 
-def _find(batches):
+def _as_spans(spans: list[list]) -> pa.Array:
+    return pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in spans], _SPAN)
+
+
+def _edges(batches):
+    """(pattern, value, seed, n), summed within each slice; values are hashes of the folded token."""
     for batch in batches:
-        base, seen = found_in(batch["text"].to_pylist())
-        base = [[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in base]
-        seen = [[dict(zip(("start", "end", "base", "seed", "value", "patterns"), x, strict=True)) for x in own] for own in seen]
-        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(base, _SPAN), pa.array(seen, _SEEN)], names=["row", "doc_id", "base", "seen"])
+        texts = batch["text"].to_pylist()
+        for numbers, found, patterns in located(texts, bases(texts)):
+            value = np.array([int.from_bytes(blake2b(texts[i][s:e].lower().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for i, (s, e, *_) in zip(numbers, found, strict=True)], np.int64)
+            seed = np.array([x[3] for x in found])
+            row, column = np.nonzero(patterns)
+            pattern, value, seed = patterns[row, column], value[row], seed[row]
+            order = np.lexsort((value, pattern))
+            pattern, value, seed = pattern[order], value[order], seed[order]
+            begin = np.flatnonzero(np.append(True, (pattern[1:] != pattern[:-1]) | (value[1:] != value[:-1]))[: len(order)])
+            seed = np.logical_or.reduceat(seed, begin) if len(begin) else seed
+            yield pa.RecordBatch.from_arrays([pa.array(pattern[begin]), pa.array(value[begin]), pa.array(seed), pa.array(np.diff(np.append(begin, len(order))))], names=["pattern", "value", "seed", "n"])
 
 
 #: The run of tokens that a pattern is, whichever side it stands on.
@@ -222,10 +234,11 @@ def run_counts(texts: DataFrame, runs: DataFrame) -> DataFrame:
     return counted.join(runs, "run")
 
 
-def sure_patterns(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def sure_patterns(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(pattern, score) of those that are sure once no more become so."""
-    edges = found.select(F.explode("seen").alias("x")).select(F.col("x.value").alias("value"), F.col("x.seed").alias("seed"), F.explode("x.patterns").alias("pattern"))
-    edges = scratch.save(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    edges = texts.mapInArrow(_edges, "pattern long, value long, seed boolean, n long")
+    edges = scratch.save(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
     # a pattern with fewer different instances can't become sure
     may = scratch.save(edges.groupBy("pattern").agg(F.count("*").alias("support")).filter(F.col("support") >= LEAST_SEEDS).select("pattern", _RUN_OF("pattern").alias("run")))
     counted = scratch.save(run_counts(texts, may.select("run").distinct()))
@@ -245,56 +258,78 @@ def sure_patterns(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
 
 
 def _sent(sure: DataFrame, limit: int) -> np.ndarray | None:
-    """The sure patterns, sorted, if there are at most limit of them."""
+    """The sure patterns if there are at most limit of them."""
     if sure.count() > limit:
         return None
-    return np.array(sorted(r.pattern for r in sure.collect()), np.int64)
+    return np.array([r.pattern for r in sure.collect()], np.int64)
+
+
+def _more(texts: list[str | None], base: list[list], sure: np.ndarray) -> list[list[tuple[int, int, str]]]:
+    """Of each text: the spans beside sure patterns."""
+    out: list[list] = [[] for _ in texts]
+    if len(sure):
+        for numbers, found, patterns in located(texts, base, SHAPE):
+            hit = np.isin(patterns, sure).any(1)
+            for k in np.flatnonzero(hit).tolist():
+                s, e, is_base, _ = found[k]
+                if not is_base:
+                    out[numbers[k]].append((s, e, "other"))
+    return out
 
 
-def _among(patterns: list[int], sure: np.ndarray) -> bool:
-    if not len(sure) or not patterns:
-        return False
-    at = np.minimum(np.searchsorted(sure, patterns), len(sure) - 1)
-    return bool((sure[at] == patterns).any())
+def _ordered(base: list[tuple], more: list[tuple]) -> list[tuple]:
+    return sorted([*base, *more], key=lambda x: (x[0], _PLACE[x[2]], x[1]))
 
 
-def _learned(docs: DataFrame, scratch: Scratch, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    row = (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
-    found = scratch.save(texts.mapInArrow(_find, f"row long, doc_id long, base {SPANS}, seen {SEEN}"))
-    return found, sure_patterns(found, texts, scratch)
+_PLACE = {k: i for i, k in enumerate((*KINDS, "other"))}
 
 
-def _spans_of(found: DataFrame, sure: DataFrame, limit: int) -> DataFrame:
-    """(row, doc_id, base, spans) of the rows found."""
-    sent = _sent(sure, limit)
-    if sent is not None:
+def _joined_spans(held: DataFrame, sure: DataFrame) -> DataFrame:
+    """(_row, spans): all spans of the rows of held, without sending patterns to the tasks."""
 
-        def add(batches):
-            for batch in batches:
-                new = [[{"start": x["start"], "end": x["end"], "kind": "other"} for x in own if not x["base"] and _among(x["patterns"], sent)] for own in batch["seen"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["base"], pa.array(new, _SPAN)], names=["row", "doc_id", "base", "new"])
+    def beside(batches):
+        for batch in batches:
+            rows, texts = np.asarray(batch[KEY]), batch["text"].to_pylist()
+            for numbers, found, patterns in located(texts, bases(texts), SHAPE):
+                row, column = np.nonzero(patterns)
+                some = ~np.array([x[2] for x in found])[row]
+                row, column = row[some], column[some]
+                s, e = (np.array([x[k] for x in found], np.int64)[row] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[np.array(numbers)[row]]), pa.array(s), pa.array(e), pa.array(patterns[row, column])], names=[KEY, "start", "end", "pattern"])
+
+    def both(batches):
+        for batch in batches:
+            more = [[(x["start"], x["end"], "other") for x in m or []] for m in batch["more"].to_pylist()]
+            spans = [_ordered(b, m) for b, m in zip(bases(batch["text"].to_pylist()), more, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch[KEY], _as_spans(spans)], names=[KEY, "spans"])
 
-        out = found.mapInArrow(add, f"row long, doc_id long, base {SPANS}, new {SPANS}")
-    else:
-        new = found.select("row", F.explode("seen").alias("x")).filter("not x.base").select("row", "x.start", "x.end", F.explode("x.patterns").alias("pattern"))
-        new = new.join(sure, "pattern", "left_semi").select("row", "start", "end").distinct()
-        new = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("other").alias("kind"))).alias("new"))
-        out = found.join(new, "row", "left").withColumn("new", F.coalesce("new", F.array().cast(SPANS)))
-    order = F.array(*[F.lit(k) for k in (*KINDS, "other")])
-    key = lambda s: F.struct(s.start.alias("start"), F.array_position(order, s.kind).alias("k"), s.end.alias("end"), s.kind.alias("kind"))
-    spans = F.transform(F.array_sort(F.transform(F.concat("base", "new"), key)), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
-    return out.select("row", "doc_id", "base", spans.alias("spans"))
+    texts = held.select(KEY, F.col("text").cast("string").alias("text"))
+    near = texts.mapInArrow(beside, f"{KEY} long, start long, end long, pattern long").join(sure, "pattern", "left_semi")
+    near = near.select(KEY, "start", "end").distinct().groupBy(KEY).agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    return texts.join(near, KEY, "left").mapInArrow(both, f"{KEY} long, spans {SPANS}")
 
 
-def personal_data(docs: DataFrame, scratch: Scratch | None = None, row_col: str | None = None, sent: int = SENT) -> DataFrame:
-    """(row, doc_id, base, spans): base spans and all spans as array<struct<start, end, kind>>, one row for each row of docs.
+def personal_data(docs: DataFrame, scratch: Scratch | None = None, sent: int = SENT) -> DataFrame:
+    """(doc_id, base, spans): base spans and all spans as array<struct<start, end, kind>>, one row for each row of docs.
 
-    row names the input's rows: row_col if given; else it follows from their place and isn't stable between reads. More sure
-    patterns than sent are joined to the instances instead of being sent to the tasks; the result is the same.
+    More sure patterns than sent are joined to the instances instead of being sent to the tasks; the result is the same.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    return _spans_of(*_learned(docs, scratch, row_col), sent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sure = sure_patterns(docs, scratch)
+    patterns = _sent(sure, sent)
+    if patterns is None:
+        held = keyed(docs, scratch)
+        docs = held.select(KEY, "doc_id", "text").join(_joined_spans(held, sure), KEY).select("doc_id", "text", "spans")
+
+    def label(batches):
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            base = bases(texts)
+            spans = batch["spans"] if patterns is None else _as_spans([_ordered(b, m) for b, m in zip(base, _more(texts, base, patterns), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], _as_spans(base), spans], names=["doc_id", "base", "spans"])
+
+    return docs.mapInArrow(label, f"doc_id long, base {SPANS}, spans {SPANS}")
 
 
 def joined(spans):
@@ -316,39 +351,32 @@ def redacted(docs: DataFrame, scratch: Scratch | None = None, sent: int = SENT)
     scratch = scratch or Scratch(docs.sparkSession)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    _, sure = _learned(docs, scratch)
+    sure = sure_patterns(docs, scratch)
     patterns = _sent(sure, sent)
+    if patterns is None:
+        held = keyed(docs, scratch)
+        docs = held.join(_joined_spans(held, sure).withColumnRenamed("spans", "_spans"), KEY).select(*names, "_spans")
 
-    def rewritten(batch, texts):
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names], names=names)
-
-    if patterns is not None:
-
-        def rewrite(batches):
-            for batch in batches:
-                texts = batch["text"].to_pylist()
-                base, seen = found_in(texts)
-                spans = [[(s, e, k) for s, e, k in b] + [(x[0], x[1], "other") for x in own if not x[2] and _among(x[5], patterns)] for b, own in zip(base, seen, strict=True)]
-                yield rewritten(batch, [cut_out(t, [{"start": s, "end": e, "kind": k} for s, e, k in x]) for t, x in zip(texts, spans, strict=True)])
-
-        return docs.mapInArrow(rewrite, schema)
-
-    held = keyed(docs, scratch)
-    spans = _spans_of(_learned(held, scratch, KEY)[0], sure, sent).select(F.col("row").alias(KEY), F.col("spans").alias("_spans")).filter(F.size("_spans") > 0)
-
-    def rewrite_joined(batches):
+    def rewrite(batches):
         for batch in batches:
-            yield rewritten(batch, [cut_out(t, s) for t, s in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), strict=True)])
+            texts = batch["text"].to_pylist()
+            if patterns is None:
+                spans = [[(x["start"], x["end"], x["kind"]) for x in s] for s in batch["_spans"].to_pylist()]
+            else:
+                base = bases(texts)
+                spans = [[*b, *m] for b, m in zip(base, _more(texts, base, patterns), strict=True)]
+            new = [cut_out(t, x) for t, x in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch[c] for c in names], names=names)
 
-    return held.join(spans, KEY, "left").select(*names, "_spans").mapInArrow(rewrite_joined, schema)
+    return docs.mapInArrow(rewrite, schema)
 
 
-def cut_out(text: str | None, spans: list[dict] | None) -> str | None:
+def cut_out(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     if not spans:
         return text
     out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-        if s["start"] >= at:
-            out += [text[at : s["start"]], f"[{s['kind']}]"]
-        at = max(at, s["end"])
+    for s, e, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if s >= at:
+            out += [text[at:s], f"[{kind}]"]
+        at = max(at, e)
     return "".join(out) + text[at:]
