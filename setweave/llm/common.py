@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -94,7 +95,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where none is set (local runs and tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="setweave-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -105,11 +106,16 @@ _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
-    """Tables written below the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written below the shared folder: they cut lineage and outlive lost executors.
+
+    Within `with released():`, the tables of all that was opened inside are removed at its end.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_folder(spark)}/setweave-{uuid.uuid4().hex}"
         self.n = 0
+        if _opened:
+            _opened[-1].append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -124,11 +130,31 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def remove(self) -> None:
+        """Removes all of its tables; what is still to be computed from them can't be any more."""
+        self._delete(self.top)
+
+
+_opened: list[list[Scratch]] = []
+
+
+@contextmanager
+def released():
+    """For a result that is written inside: what its operators wrote on the way is removed after it."""
+    _opened.append([])
+    try:
+        yield
+    finally:
+        for scratch in _opened.pop():
+            scratch.remove()
 
 
 #: Names the rows of a table where ids may be null or repeat.
@@ -140,16 +166,23 @@ def keyed(df: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(df.withColumn(KEY, F.monotonically_increasing_id()))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, limit: int = 100) -> DataFrame:
+def has_keys(df: DataFrame, id_col: str) -> bool:
+    """Whether the ids name the rows: none is null and none repeats."""
+    ids = df.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return ids.filter("id is null or n > 1").isEmpty()
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
 
     Alternates large-star and small-star steps written as a partial aggregation and an equi-join, so that a
-    centre with many neighbours is neither gathered in one task nor sent to the driver.
+    centre with many neighbours is neither gathered in one task nor sent to the driver. Each step replaces links by links
+    to smaller ids until none changes, so it ends on any graph.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     pairs = scratch.save(pairs)
     before = None
-    for _ in range(limit):
+    while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -164,8 +197,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, limit: int = 100) -
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("connected components did not settle")
     members = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return members.union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

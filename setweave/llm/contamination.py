@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import ALNUM_OR_HIGH, U64, Scratch, mix, sliced, words_of
+from setweave.llm.common import ALNUM_OR_HIGH, KEY, U64, Scratch, keyed, mix, sliced, words_of
 
 WINDOW, GROUP_BYTES = 13, 16 << 20
 
@@ -79,42 +79,54 @@ def searchers(items: list[tuple[str, str | None]]) -> list[WuManber]:
     return [WuManber(n, p, known) for n, p in sorted(patterns.items())]
 
 
+def _occurrences(found: list[WuManber], texts):
+    """(index of the first text, numbers of words, merged spans of words hit, items that occur) by slices of texts."""
+    for first, held in sliced(texts):
+        buf, start, end, h, bound = words_of(held, ALNUM_OR_HIGH)
+        word = lambda k, buf=buf, start=start, end=end: buf[start[k] : end[k]].tobytes()
+        blocks = {b: block_hashes(h, b) for b in {x.block for x in found}}
+        spans, items = [], []
+        for s, e in pairwise(bound.tolist()):
+            own, hits, named = h[s:e].tolist(), [], set()
+            for x in found:
+                for a, b, names in x.occurrences(blocks[x.block][s:e].tolist() if e - s >= x.length else [], own, lambda k, s=s: word(s + k)):
+                    hits.append((a, b))
+                    named |= names
+            merged: list[list[int]] = []
+            for a, b in sorted(hits):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(b, merged[-1][1])
+                else:
+                    merged.append([a, b])
+            spans.append(merged)
+            items.append(sorted(named))
+        yield first, np.diff(bound), spans, items
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _search(found: list[WuManber]):
     def search(batches):
         for batch in batches:
             row, ids = batch.column(0), batch.column(1)
-            for first, held in sliced(batch.column(2).to_pylist()):
-                buf, start, end, h, bound = words_of(held, ALNUM_OR_HIGH)
-                word = lambda k, buf=buf, start=start, end=end: buf[start[k] : end[k]].tobytes()
-                blocks = {b: block_hashes(h, b) for b in {x.block for x in found}}
-                spans, items = [], []
-                for s, e in pairwise(bound.tolist()):
-                    own, hits, named = h[s:e].tolist(), [], set()
-                    for x in found:
-                        for a, b, names in x.occurrences(blocks[x.block][s:e].tolist() if e - s >= x.length else [], own, lambda k, s=s: word(s + k)):
-                            hits.append((a, b))
-                            named |= names
-                    merged: list[list[int]] = []
-                    for a, b in sorted(hits):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    spans.append([{"start": a, "end": b} for a, b in merged])
-                    items.append(sorted(named))
-                yield pa.RecordBatch.from_arrays(
-                    [row.slice(first, len(held)), ids.slice(first, len(held)), pa.array(np.diff(bound), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                    names=["row", "id", "n_words", "spans", "items"],
-                )
+            for first, n, spans, items in _occurrences(found, batch.column(2).to_pylist()):
+                spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
+                columns = [row.slice(first, len(n)), ids.slice(first, len(n)), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_words", "spans", "items"])
 
     return search
 
 
+def _items(items: DataFrame, group_bytes: int) -> tuple[DataFrame, int]:
+    """The items that may occur, and the number of groups that they are searched for in."""
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    return items, 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(id, n_words, spans, items) with hit spans of words [start, end) and the ids, as strings, of items that occur."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = 1 + total // group_bytes
+    items, groups = _items(items, group_bytes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     if groups > 1:
@@ -142,6 +154,26 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns; where one group holds all items, texts stay in their tasks."""
+    own, groups = _items(items, group_bytes)
+    if groups > 1:
+        held = keyed(docs, Scratch(docs.sparkSession))
+        bad = judged(contamination(held, items, KEY, group_bytes=group_bytes)).filter("contaminated").select(F.col("id").alias(KEY))
+        return held.join(bad, KEY, "left_anti").select(*docs.columns)
+    found = searchers([(r.item_id, r.text) for r in own.collect()])
+
+    def clean(batches):
+        for batch in batches:
+            keep = []
+            for _, n_words, spans, _ in _occurrences(found, batch["text"].to_pylist()):
+                hit = [sum(b - a for a, b in x) for x in spans]
+                keep += [not (h and 20 * h >= n) for h, n in zip(hit, n_words.tolist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     return out.select(

@@ -5,8 +5,9 @@ log-probabilities of hashed byte trigrams within words, and the shares of its wo
 are the languages that use its script; its score for each is the sum over its trigrams. A Viterbi path over the words of
 a text, which pays PENALTY to change language, labels spans; the text's language is that of most letters' bytes.
 
-Learned from text and lang of documents whose crc32(doc_id as text) mod 4 is not 2, of these at most MAX_TRAIN in the
-order of a hash of the id (documented bound); counts are summed in the tasks. Null texts and texts without a letter are
+Learned from text and lang of documents whose crc32(doc_id as text) mod 4 is not 2, of these about MAX_TRAIN of each
+language, chosen by a hash of the id (documented bound; all of a language that has no more), so that no language is too rare
+to be learned. Null doc_ids count as the empty text, and rows that repeat all count. Null texts and texts without a letter are
 `und` with score 0, as are all when there is nothing to learn from. Ties go to the language that sorts first. Only
 doc_id, text and, for learning, lang are read. An empty table gives an empty result.
 """
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from setweave.llm.common import crc_mod
 
-#: Labelled documents learned from, at most; slots of the trigram table; bytes labelled together.
-MAX_TRAIN, SLOTS, SLICE = 20_000, 1 << 16, 8 << 20
+#: Labelled documents of a language learned from, about; slots of the trigram table; bytes labelled together.
+MAX_TRAIN, SLOTS, SLICE = 5_000, 1 << 16, 8 << 20
+#: Tasks that count the trigrams of the documents learned from.
+COUNTERS = 16
 #: What a change of language costs, in nats; a script is a language's own if this share of its words has it.
 PENALTY, OWN_SCRIPT = 12.0, 0.01
 #: Script ranges by the first byte of a word: ASCII and Latin, Greek, Cyrillic, Hebrew and Arabic, Indic and other E0-E2, CJK, Hangul, the rest.
@@ -137,9 +140,11 @@ def _summed(group: pa.Table) -> pa.Table:
 def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    some = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).distinct()
-    rows = rows.join(F.broadcast(some), "doc_id")  # at most max_train ids
-    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    each = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    names = sorted(r.lang for r in each.select("lang").collect())
+    steps = 1 << 40
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(steps)).cast("double") / steps
+    rows = rows.join(each, "lang").filter(share * F.col("n") < max_train).repartition(COUNTERS)
     schema = "lang string, counts binary"
     got = rows.select("lang", "text").mapInArrow(_counts(names), schema).groupBy("lang").applyInArrow(_summed, schema).collect()
     got = sorted(got, key=lambda r: r.lang)

@@ -12,9 +12,13 @@ with its likeliest partner outside its component. What is left after that is ver
 the members that still have candidates, so no link between components is lost and no pair becomes a row; links inside a
 component no longer matter for the result.
 
+Two members of a group meet in no bucket with a chance of 5e-6 at the threshold, and are estimated below LEAST_ESTIMATE
+with one under 1e-6. With exact=True neither is left to chance: links then come from the prefix join of the full sets.
+
 Null texts, empty texts and texts without words have no shingles and link with nothing. Ties are settled by the
-smaller id. An empty table gives an empty result. Only the id and text columns are read. The id column must not hold
-repeated ids or nulls; rows with a null id are left out.
+smaller id. Every row is a document of its own, also where its id is null or repeats that of another row; a component is
+named by its smallest id that isn't null (null if it has none). An empty table gives an empty result. Only the id and text
+columns are read.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import NOT_BLANK, U64, Scratch, connected_components, mix, sliced, words_of
+from setweave.llm.common import KEY, NOT_BLANK, U64, Scratch, connected_components, has_keys, keyed, mix, sliced, words_of
+from setweave.operators.join import self_join
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -243,11 +248,34 @@ def _tiled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def _set_rows(batches):
+    for batch in batches:
+        for first, values, bound in shingle_sets(batch.column(1).to_pylist()):
+            terms = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(np.sort(values.view(np.int64)) if len(bound) == 2 else np.concatenate([np.sort(values[s:e].view(np.int64)) for s, e in zip(bound, bound[1:])])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bound) - 1), pa.array(np.diff(bound), pa.int64()), terms], names=["set_id", "n", "terms"])
+
+
+def exact_links(texts: DataFrame) -> DataFrame:
+    """(a, b): all linked pairs of rows (id, text), by a prefix join of their shingle sets (as 64-bit hashes)."""
+    sets = texts.mapInArrow(_set_rows, "set_id long, n long, terms array<long>").filter("n > 0")
+    return self_join(sets, PERCENT / 100, strategy="prefix").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, exact: bool = False) -> DataFrame:
     """(id, n_shingles, component) for each row of docs."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if has_keys(rows, "id"):
+        return _classes(rows, scratch, exact)
+    held = keyed(rows, scratch)
+    found = _classes(held.select(F.col(KEY).alias("id"), "text"), scratch, exact)
+    found = scratch.save(found.withColumnRenamed("id", KEY).join(held.select(KEY, "id"), KEY))
+    names = found.groupBy("component").agg(F.min("id").alias("name"))
+    return found.join(names, "component").select("id", "n_shingles", F.col("name").alias("component"))
+
+
+def _classes(texts: DataFrame, scratch: Scratch, exact: bool) -> DataFrame:
+    """near_duplicates for rows (id, text) whose ids name them."""
     signed = scratch.save(texts.mapInArrow(_sign, _SIGNED))
     full = signed.filter("n_shingles > 0")
     # groups are written before they meet their rows: the join then has exchanges of its own, whose hot keys can be split
@@ -255,6 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = full.select("id", "f1", "f2", "n_shingles").join(scratch.save(same), ["f1", "f2", "n_shingles"], "left")
     members = scratch.save(members.select("id", F.coalesce("rep", "id").alias("rep")))
     reps = members.filter("id = rep").select("id")
+    if exact:
+        component = connected_components(exact_links(texts.join(reps, "id")), scratch)
+        return _named(signed, members, component)
     heads = scratch.save(full.select("id", "bands", "sketch").join(reps, "id"))
     exploded = heads.select("id", "bands").mapInArrow(_explode, "key long, id long")
     centre = exploded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
@@ -274,10 +305,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             links = links.union(more)
             component = connected_components(links, scratch)
+    return _named(signed, members, component)
+
+
+def _named(signed: DataFrame, members: DataFrame, component: DataFrame) -> DataFrame:
     out = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return signed.select("id", "n_shingles").join(out, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+k AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -3,7 +3,9 @@
 A vector x of unit length is quantised to round(x / s) with its own step s = max|x| / 127. Then the product of two
 quantised vectors, times both steps, differs from the cosine by at most |e_x| + |e_y| + |e_x||e_y|, where e is the
 vector of rounding errors and |e| its measured length: only pairs that reach the threshold less this bound are computed
-again, in double precision. Products of int8 are sums below 2**24, so float32 BLAS computes them exactly.
+again, in double precision. Products of int8 are summed by float32 BLAS over at most EXACT components at a time, so that
+each sum stays below 2**24 and is exact, and in double precision across these; SLACK covers the rounding of the double
+precision arithmetic around it, for any length of vector.
 
 Vectors are grouped around pivots into blocks of at most about BLOCK rows, so that a block pair whose cones lie further
 apart than the threshold's angle is skipped by the triangle inequality for angles. Each remaining block pair is one
@@ -11,8 +13,9 @@ task's tile. A tile returns one row for each vector and the edges of a spanning
 vectors are counted once with their number, so large groups of copies cost one row.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of unlike
-lengths do not link with each other. Rows with a null id are left out and ids must not repeat. Only the id and vector
-columns are read. An empty table gives an empty result.
+lengths do not link with each other. Every row is a vector of its own, also where its id is null or repeats that of another
+row; a component is named by its smallest id that isn't null (null if it has none). Only the id and vector columns are
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,13 @@ from setweave.llm.common import Scratch, connected_components
 BLOCK, MAX_PIVOTS = 4096, 512
 #: Rows of a tile multiplied at a time.
 STRIP = 1024
+#: Components whose products of int8 float32 sums exactly: 127 * 127 * EXACT < 2**24.
+EXACT = 1024
+
+
+def slack(d: int) -> float:
+    """What rounding in double precision may add to the bound, for vectors of d components."""
+    return 1e-9 + 16 * d * np.finfo(np.float64).eps
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -70,8 +80,11 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float):
     qb, sb, eb = (qa, sa, ea) if own else quantised(right)
     for at in range(0, len(left), STRIP):
         rows = slice(at, at + STRIP)
-        bound = threshold - 1e-9 - (ea[rows, None] + eb[None, :] + ea[rows, None] * eb[None, :])
-        i, j = np.nonzero(qa[rows] @ qb.T >= bound / (sa[rows, None] * sb[None, :]))
+        bound = threshold - slack(left.shape[1]) - (ea[rows, None] + eb[None, :] + ea[rows, None] * eb[None, :])
+        products = qa[rows, :EXACT] @ qb[:, :EXACT].T
+        for k in range(EXACT, left.shape[1], EXACT):
+            products = products.astype(np.float64) + qa[rows, k : k + EXACT] @ qb[:, k : k + EXACT].T
+        i, j = np.nonzero(products >= bound / (sa[rows, None] * sb[None, :]))
         i += at
         if own:
             i, j = i[i < j], j[i < j]
@@ -131,16 +144,18 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """(id, n_links, component) for each row."""
     spark = table.sparkSession
     scratch = scratch or Scratch(spark)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.when(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.transform("v", lambda c: c + F.lit(0.0))))
     good = rows.filter("v is not null")
-    distinct = scratch.save(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "v", "copies"))
+    # equal vectors are one; they are told apart by a number of their own, as ids may be null or repeat
+    distinct = good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    distinct = scratch.save(distinct.select(F.monotonically_increasing_id().alias("id"), "least", "v", "copies"))
     per_length = distinct.groupBy(F.size("v").alias("length")).count().collect()
     tiles = []
     for length, n in sorted((r["length"], r["count"]) for r in per_length):
-        one = distinct.filter(F.size("v") == length)
+        one = distinct.select("id", "v", "copies").filter(F.size("v") == length)
         k = min(MAX_PIVOTS, max(1, n // (4 * BLOCK)))
-        pivots = unit([r.v for r in one.orderBy(F.xxhash64("id"), "id").limit(k).collect()])
+        pivots = unit([r.v for r in one.orderBy(F.xxhash64("v"), "id").limit(k).collect()])
         placed = scratch.save(one.mapInArrow(_homes(pivots), "id long, v array<double>, copies long, cell long, angle double"))
         cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).orderBy("cell").collect()
         reach = float(np.arccos(threshold)) + 1e-6
@@ -166,13 +181,27 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     found = scratch.save(found)
     links = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
-    heads = distinct.select("id", "v", "copies").join(links, "id", "left").join(component, "id", "left")
-    heads = heads.select("v", F.col("id").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    heads = distinct.join(links, "id", "left").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    names = heads.groupBy("component").agg(F.min("least").alias("name"))
+    heads = heads.join(names, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "name")
     out = rows.join(heads, "v", "left")
-    # A head is the smallest id of its copies, so components named by heads are named by their smallest ids.
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "head", "id").alias("component"))
+    linked = F.col("n_links").isNotNull()
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(linked, F.col("name")).otherwise(F.col("id")).alias("component"))
 
 
 def op3_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+u AS (SELECT vec_id, list_transform(e, lambda c: c / sqrt(list_dot_product(e, e))) AS e FROM v),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.9),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+k AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY 1),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN k USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
