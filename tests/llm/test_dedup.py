@@ -63,6 +63,63 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_the_exact_setting_against_brute_force(spark):
+    rows = corpus()
+    want = {r.id: (r.n_shingles, r.component) for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert {r.id: (r.n_shingles, r.component) for r in near_dup.near_duplicates(frame(spark, rows), exact=True).collect()} == want
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    """Pairs just above it, each a group of its own: none is lost."""
+    rows, k = [], 0
+    for n in range(60, 260):
+        w = [f"v{k + i}" for i in range(n)]
+        k += n
+        cut = (n - 4) // 4  # shared shingles over all: (n - 4 - cut) / (n - 4)
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(w[: n - cut]))]
+    got = {r.id: r.component for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert all(got[2 * n] == got[2 * n + 1] == 2 * n for n in range(60, 260))
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    one, two = text(60), text(60)
+    rows = [(None, one), (7, one), (7, one), (5, two), (5, text(60)), (None, two + " w"), (None, text(60)), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.id, r.component) for r in near_dup.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (7, 7), (5, 5), (5, 5), (None, 5), (None, None), (None, None)], key=str)
+    x, y = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    table = spark.createDataFrame([(None, x), (4, x), (4, x), (4, y), (None, y), (9, [1.0, 0.01, 0.1]), (None, None), (None, [5.0])], "vec_id long, embedding array<double>")
+    got = sorted(((r.id, r.n_links, r.component) for r in tiles.near_vectors(table).collect()), key=str)
+    assert got == sorted([(None, 3, 4), (4, 3, 4), (4, 3, 4), (4, 1, 4), (None, 1, 4), (9, 3, 4), (None, 0, None), (None, 0, None)], key=str)
+    line = "a passage that stands in several documents, of over fifty bytes"
+    rows = [(None, line), (None, line + "!"), (3, "x" + line), (3, line), (8, line)]
+    got = sorted(((r.doc_id, r.n_removed) for r in suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 63), (None, 63), (3, 0), (3, 0), (8, 63)], key=str)
+
+
+def test_bound_holds_for_long_vectors():
+    rng = np.random.default_rng(1)
+    for d in (64, 1040, 4096):
+        x = tiles.unit(np.concatenate([np.full((2, d), 1.0) + rng.normal(size=(2, d)) * 1e-3, np.sign(rng.normal(size=(6, d))), rng.normal(size=(6, d))]).tolist())
+        q, step, error = tiles.quantised(x)
+        exact = q.astype(np.int64) @ q.T.astype(np.int64)
+        parts = sum(q[:, k : k + tiles.EXACT] @ q[:, k : k + tiles.EXACT].T.astype(np.float32) if k == 0 else (q[:, k : k + tiles.EXACT] @ q[:, k : k + tiles.EXACT].T).astype(np.float64) for k in range(0, d, tiles.EXACT))
+        assert (parts == exact).all()
+        off = np.abs(exact * step[:, None] * step - x @ x.T)
+        assert (off <= error[:, None] + error + error[:, None] * error + tiles.slack(d)).all()
+        got = {(int(a), int(b)) for i, j in tiles.tile_links(x, None, 0.9) for a, b in zip(i, j)}
+        assert got == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if x[i] @ x[j] >= 0.9}
+
+
+def test_hot_anchors_give_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 900)
+    rows = [*corpus(), *((1000 + k, f"{text(4)} the very same line stands here, in all of these documents {text(4)}") for k in range(60))]
+    want = removed(rows)
+    for hot in (2, 20):
+        got = suffixes.repeated(frame(spark, rows), hot=hot).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == want
+
+
 def test_sketch_fills_every_bin_and_estimates():
     one = near_dup.sketches(np.array([5], np.uint64), np.array([0, 1]))
     assert (one < np.iinfo(np.uint64).max).all()
