@@ -1,4 +1,4 @@
-"""Size, prefix and overlap bounds of the Jaccard similarity, as Column builders.
+"""Size, prefix and overlap bounds of the Jaccard, Dice and cosine similarities, as Column builders.
 
 slack: what is taken off before rounding up, so that a filter never asks for more than the exact bound does.
 """
@@ -20,13 +20,33 @@ def ceil(x: Column, slack: float = 0.0) -> Column:
 class Similarity(Protocol):
     """What a join needs of a similarity; all sizes are Columns."""
 
+    def size_ratio(self, t: float) -> float:
+        """The smallest ratio of two sizes that may reach t."""
+
     def minsize(self, n: Column, t: float, slack: float = 0.0) -> Column: ...
     def maxsize(self, n: Column, t: float, slack: float = 0.0) -> Column: ...
     def minoverlap(self, a: Column, b: Column, t: float, slack: float = 0.0) -> Column: ...
+    def maxprefix(self, n: Column, t: float, slack: float = 0.0) -> Column: ...
+    def midprefix(self, n: Column, t: float, slack: float = 0.0) -> Column: ...
     def value(self, overlap: Column, a: Column, b: Column) -> Column: ...
 
 
-class Jaccard:
+class Prefixes:
+    """The prefixes that follow from the other bounds."""
+
+    def maxprefix(self, n: Column, t: float, slack: float = 0.0) -> Column:
+        """Elements of the probing side to look up."""
+        return F.least(n.cast("long"), n - self.minsize(n, t, slack) + 1)
+
+    def midprefix(self, n: Column, t: float, slack: float = 0.0) -> Column:
+        """Elements of the indexed side to look up, where it is the smaller set."""
+        return F.least(n.cast("long"), n - self.minoverlap(n, n, t, slack) + 1)
+
+
+class Jaccard(Prefixes):
+    def size_ratio(self, t: float) -> float:
+        return t
+
     def minsize(self, n: Column, t: float, slack: float = 0.0) -> Column:
         """Smallest size of a partner of a set of n."""
         return ceil(F.lit(float(t)) * n, slack)
@@ -50,17 +70,12 @@ class Jaccard:
     def value(self, overlap: Column, a: Column, b: Column) -> Column:
         return F.try_divide(overlap.cast("double"), (a + b - overlap).cast("double"))
 
-    def maxprefix(self, n: Column, t: float, slack: float = 0.0) -> Column:
-        """Elements of the probing side to look up."""
-        return F.least(n.cast("long"), n - self.minsize(n, t, slack) + 1)
-
-    def midprefix(self, n: Column, t: float, slack: float = 0.0) -> Column:
-        """Elements of the indexed side to look up, where it is the smaller set."""
-        return F.least(n.cast("long"), n - self.minoverlap(n, n, t, slack) + 1)
 
+class Dice(Prefixes):
+    """2 o / (a + b)."""
 
-class Dice(Jaccard):
-    """2 o / (a + b); the same filters with the bounds that follow from it."""
+    def size_ratio(self, t: float) -> float:
+        return t / (2 - t)
 
     def minsize(self, n: Column, t: float, slack: float = 0.0) -> Column:
         return ceil(F.lit(t / (2 - t)) * n, slack)
@@ -75,7 +90,27 @@ class Dice(Jaccard):
         return F.try_divide(2 * overlap.cast("double"), (a + b).cast("double"))
 
 
-JACCARD = Jaccard()
+class Cosine(Prefixes):
+    """o / sqrt(a b)."""
+
+    def size_ratio(self, t: float) -> float:
+        return t * t
+
+    def minsize(self, n: Column, t: float, slack: float = 0.0) -> Column:
+        return ceil(F.lit(t * t) * n, slack)
+
+    def maxsize(self, n: Column, t: float, slack: float = 0.0) -> Column:
+        return F.floor(n / F.lit(t * t) + F.lit(slack)).cast("long")
+
+    def minoverlap(self, a: Column, b: Column, t: float, slack: float = 0.0) -> Column:
+        return F.least(a.cast("long"), b.cast("long"), ceil(F.sqrt((a * b).cast("double")) * F.lit(float(t)), slack))
+
+    def value(self, overlap: Column, a: Column, b: Column) -> Column:
+        return F.try_divide(overlap.cast("double"), F.sqrt((a * b).cast("double")))
+
+
+JACCARD, DICE, COSINE = Jaccard(), Dice(), Cosine()
+SIMILARITIES = {"jaccard": JACCARD, "dice": DICE, "cosine": COSINE}
 
 
 def passes(overlap: Column, a: Column, b: Column, t: float, boundary: str = "ge", float32: bool = False, sim: Similarity = JACCARD) -> Column:

@@ -1,4 +1,8 @@
-"""From text and relations to sets: tokens, dictionaries, entries and packed arrays."""
+"""From text and relations to sets: tokens, dictionaries, entries and packed arrays.
+
+Null texts and empty texts give no elements, and null ids and tokens are left out; rows that repeat give an element once. Sets
+without elements have no row, so they match nothing. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ def tokens(text: Column) -> Column:
 
 def text_sets(docs: DataFrame, set_id: str, text: str) -> DataFrame:
     """(set_id, token), a row for each element."""
-    return docs.select(F.col(set_id).cast("long").alias("set_id"), F.explode(tokens(F.col(text))).alias("token"))
+    return docs.filter(F.col(set_id).isNotNull()).select(F.col(set_id).cast("long").alias("set_id"), F.explode(tokens(F.col(text))).alias("token"))
 
 
 def relation_sets(rows: DataFrame, set_id: str, token: str) -> DataFrame:
@@ -54,10 +58,39 @@ def encoded(raw: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(set_id, n, terms): ascending distinct term ids."""
     terms = dictionary(raw) if terms is None else terms
     coded = raw.join(terms.select("token", "term_id"), "token")
-    packed = coded.groupBy("set_id").agg(F.sort_array(F.collect_list("term_id")).alias("terms"))
+    packed = coded.groupBy("set_id").agg(F.array_distinct(F.sort_array(F.collect_list("term_id"))).alias("terms"))
     return packed.select("set_id", F.size("terms").cast("long").alias("n"), "terms")
 
 
+def hashed(raw: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """raw and the others as (set_id, n, terms), with terms in one order for all: rarest first over all of them.
+
+    Terms are 64-bit hashes of the tokens (integers stay as they are), so that only numbers are sorted and shuffled; the order is
+    by frequency and then hash. Tokens that share a hash are found by a second one, and the hashes concerned replaced.
+    """
+    spark, kind = raw.sparkSession, raw.schema["token"].dataType.typeName()
+    number = kind in ("byte", "short", "integer", "long")
+    twice: list[int] = []
+    while True:
+        term = F.col("token").cast("long") if number else F.xxhash64("token")
+        if twice:
+            term = F.when(term.isin(twice), F.xxhash64("token", F.lit(len(twice)))).otherwise(term)
+        other = F.lit(0) if number else F.hash("token")
+        rows = [materialised(r.select("set_id", term.alias("term"), other.alias("other"))) for r in (raw, *others)]
+        every = rows[0]
+        for r in rows[1:]:
+            every = every.unionAll(r)
+        df = every.groupBy("term").agg(F.count("*").alias("df"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+        if len(rows) > 1:
+            df = materialised(df)
+        found = df.select("term", "df", (F.col("lo") != F.col("hi")).alias("clash"))
+        packed = [r.join(found, "term").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("t"), F.max("clash").alias("clash")) for r in rows]
+        out = [materialised(x.select("set_id", F.array_distinct("t.term").alias("terms"), "clash")) for x in packed]
+        if number or all(x.filter("clash").isEmpty() for x in out):
+            return [x.select("set_id", F.size("terms").cast("long").alias("n"), "terms") for x in out]
+        twice += [r.term for r in df.filter("lo <> hi").select("term").collect()]  # a few, however many tokens there are
+
+
 def entries(sets: DataFrame) -> DataFrame:
     """(set_id, n, pos, term_id)."""
     return sets.select("set_id", "n", F.posexplode("terms").alias("pos", "term_id"))
@@ -67,16 +100,27 @@ def term_frequencies(items: DataFrame) -> DataFrame:
     return items.groupBy("term_id").agg(F.count("*").alias("df"))
 
 
-def term_offsets(items: DataFrame, inclusive: bool = False) -> DataFrame:
-    """(term_id, df, start): running sums of list lengths in order of term_id, before or up to each list."""
-    df = materialised(term_frequencies(items).repartitionByRange("term_id").sortWithinPartitions("term_id").withColumn("part", F.spark_partition_id()))
-    own = Window.partitionBy("part").orderBy("term_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = df.groupBy("part").agg(F.sum("df").alias("total"))
+def term_starts(sizes: DataFrame, inclusive: bool = False) -> DataFrame:
+    """(key, size, start): running sums of sizes in order of key, before or up to each; no task sees more than a range of keys."""
+    df = materialised(sizes.repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = df.groupBy("part").agg(F.sum("size").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = totals.select("part", (F.sum("total").over(before) - F.col("total")).alias("offset"))  # a row for each range
-    out = df.withColumn("upto", F.sum("df").over(own)).join(F.broadcast(totals), "part")
-    start = F.col("offset") + F.col("upto") - (0 if inclusive else F.col("df"))
-    return out.select("term_id", "df", start.alias("start"))
+    out = df.withColumn("upto", F.sum("size").over(own)).join(F.broadcast(totals), "part")
+    return out.select("key", "size", (F.col("offset") + F.col("upto") - (0 if inclusive else F.col("size"))).alias("start"))
+
+
+def term_offsets(items: DataFrame, inclusive: bool = False) -> DataFrame:
+    """(term_id, df, start): running sums of list lengths in order of term_id, before or up to each list."""
+    out = term_starts(term_frequencies(items).select(F.col("term_id").alias("key"), F.col("df").alias("size")), inclusive)
+    return out.select(F.col("key").alias("term_id"), F.col("size").alias("df"), "start")
+
+
+def set_offsets(sizes: DataFrame) -> DataFrame:
+    """(set_id, n, start): where each set begins when all are laid out in order of set_id."""
+    out = term_starts(sizes.select(F.col("set_id").alias("key"), F.col("n").alias("size")))
+    return out.select(F.col("key").alias("set_id"), F.col("size").alias("n"), "start")
 
 
 def posting_lists(items: DataFrame) -> DataFrame:

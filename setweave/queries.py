@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.functions.bounds import JACCARD
-from setweave.functions.signature import hamming, overlap_bound, signatures
+from setweave.functions.bounds import COSINE, DICE, JACCARD
+from setweave.functions.signature import hamming, hash32, overlap_bound, signatures
 from setweave.operators import join, prepare
-from setweave.plans.stage import materialised
+from setweave.plans.stage import materialised, new_path
+from setweave.sources import text
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -44,18 +45,21 @@ def _as_terms(raw: DataFrame) -> DataFrame:
 
 
 def _encoded(raw: DataFrame) -> DataFrame:
+    """Sets of dense term ids, for what returns them."""
     return materialised(prepare.encoded(raw))
 
 
+def _sets(raw: DataFrame) -> DataFrame:
+    return prepare.hashed(raw)[0]
+
+
 def _self(source, t, **kw):
-    return lambda spark, sf: join.self_join(_encoded(source(spark, sf)), t, **kw).select("x", "y", "overlap", F.round("sim", 6).alias("sim"))
+    return lambda spark, sf: join.self_join(_sets(source(spark, sf)), t, **kw).select("x", "y", "overlap", F.round("sim", 6).alias("sim"))
 
 
 def _binary(t, strategy, bits=64):
     def run(spark, sf):
-        r, s = _bench(spark, sf), _docs(spark, sf)
-        terms = prepare.dictionary(r.union(s))
-        r, s = (materialised(prepare.encoded(x, terms)) for x in (r, s))
+        r, s = prepare.hashed(_bench(spark, sf), _docs(spark, sf))
         return join.binary_join(r, s, t, strategy=strategy, bits=bits).select("r_id", "s_id", "overlap", F.round("sim", 6).alias("sim"))
 
     return run
@@ -125,13 +129,13 @@ def _bitmap_pairs(spark, sf):
 
 
 def _matrix(spark, sf):
-    found = join.overlaps(_encoded(_user_props(spark, sf)))
+    found = join.overlaps(_sets(_user_props(spark, sf)))
     return found.select(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y"), "overlap")
 
 
 def _merge(spark, sf):
     """Overlaps of customers with the next key's."""
-    sets = _encoded(_customer_parts(spark, sf))
+    sets = _sets(_customer_parts(spark, sf))
     pairs = sets.select(F.col("set_id").alias("set_id_x"), (F.col("set_id") + 1).alias("set_id_y"))
     return join.verified(pairs, sets).select(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y"), "overlap")
 
@@ -143,12 +147,43 @@ def _postings(spark, sf):
 
 def _matched(anti):
     def run(spark, sf):
-        sets = _encoded(_docs(spark, sf))
+        sets = _sets(_docs(spark, sf))
         return join.matched(sets.select("set_id", "n"), join.self_join(sets, 0.8, strategy="prefix"), anti)
 
     return run
 
 
+def _loose(spark, sf):
+    n = F.col("n")
+    sizes = prepare.set_sizes(_docs(spark, sf)).select("n").distinct()
+    return sizes.select(n, JACCARD.loose_maxsize(n, 0.8).alias("jaccard"), *[sim.maxsize(n, 0.8).alias(name) for name, sim in (("dice", DICE), ("cosine", COSINE))])
+
+
+def _hash_terms(spark, sf):
+    terms = prepare.term_frequencies(prepare.entries(_as_terms(_order_parts(spark, sf))))
+    return terms.select("term_id", hash32(F.col("term_id")).alias("hash"))
+
+
+def _text_lines(spark, sf):
+    """Orders written as lines of text in order of their keys, and read back: numbered from 0, tokens up to their digits."""
+    lines = _order_parts(spark, sf).groupBy("set_id").agg(F.concat_ws(" \t", F.transform(F.sort_array(F.collect_list("token")), lambda v: F.concat(v.cast("string"), F.lit("x")))).alias("value"))
+    path = new_path(spark)
+    lines.repartitionByRange("set_id").sortWithinPartitions("set_id").select("value").write.text(path)
+    read = text.read_sets(spark, path)
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, v: a + v)
+    return read.select("set_id", F.size("tokens").cast("long").alias("n"), total.alias("total"))
+
+
+def _pair_lines(layout):
+    def run(spark, sf):
+        """A join's pairs written as text and read back."""
+        path = new_path(spark)
+        text.write_pairs(_self(_order_parts, 0.8, strategy="prefix")(spark, sf), path, layout)
+        return spark.read.text(path)
+
+    return run
+
+
 QUERIES = {
     "tokenize_sets": lambda spark, sf: _docs(spark, sf),
     "set_sizes": lambda spark, sf: prepare.set_sizes(_docs(spark, sf)),
@@ -180,6 +215,17 @@ QUERIES = {
     "selfjoin_float32": _self(_order_parts, 0.5, strategy="prefix", float32=True),
     "selfjoin_auto": _self(_order_parts, 0.8),
     "selfjoin_count": lambda spark, sf: join.count_pairs(_self(_docs, 0.8, strategy="prefix")(spark, sf)),
+    "selfjoin_dice": _self(_docs, 0.8, strategy="prefix", sim=DICE),
+    "selfjoin_dice_bitmap": _self(_order_parts, 0.6, strategy="bitmap", sim=DICE),
+    "selfjoin_cosine": _self(_docs, 0.8, strategy="prefix", sim=COSINE),
+    "selfjoin_cosine_gt": _self(_order_parts, 0.6, strategy="prefix", boundary="gt", sim=COSINE),
+    "loose_bounds": _loose,
+    "hash_terms": _hash_terms,
+    "set_offsets": lambda spark, sf: prepare.set_offsets(prepare.set_sizes(_order_parts(spark, sf))),
+    "text_lines": _text_lines,
+    "pair_lines_scored": _pair_lines("scored"),
+    "pair_lines_plain": _pair_lines("plain"),
+    "binary_auto": _binary(0.2, "auto"),
     "binary_prefix": _binary(0.2, "prefix"),
     "binary_bitmap": _binary(0.2, "bitmap", 256),
     "binary_naive": _binary(0.2, "naive"),
@@ -238,7 +284,17 @@ ORACLES = {
     "selfjoin_float32": _self_sql(_ORDERS, "sim::FLOAT >= 0.5::FLOAT"),
     "selfjoin_auto": _self_sql(_ORDERS, "sim >= 0.8::DOUBLE"),
     "selfjoin_count": f"WITH {_DOCS}, {_SIZES}, {_OVERLAPS}, {_SCORED} SELECT count(*) AS n_pairs FROM j WHERE sim >= 0.8::DOUBLE",
-    **dict.fromkeys(("binary_prefix", "binary_bitmap", "binary_naive"), _BINARY_SQL),
+    "selfjoin_dice": _self_sql(_DOCS, "2 * ov::DOUBLE / (nx + ny) >= 0.8::DOUBLE").replace("round(sim, 6)", "round(2 * ov::DOUBLE / (nx + ny), 6)"),
+    "selfjoin_dice_bitmap": _self_sql(_ORDERS, "2 * ov::DOUBLE / (nx + ny) >= 0.6::DOUBLE").replace("round(sim, 6)", "round(2 * ov::DOUBLE / (nx + ny), 6)"),
+    "selfjoin_cosine": _self_sql(_DOCS, "ov::DOUBLE / sqrt((nx * ny)::DOUBLE) >= 0.8::DOUBLE").replace("round(sim, 6)", "round(ov::DOUBLE / sqrt((nx * ny)::DOUBLE), 6)"),
+    "selfjoin_cosine_gt": _self_sql(_ORDERS, "ov::DOUBLE / sqrt((nx * ny)::DOUBLE) > 0.6::DOUBLE").replace("round(sim, 6)", "round(ov::DOUBLE / sqrt((nx * ny)::DOUBLE), 6)"),
+    "loose_bounds": f"WITH {_DOCS}, {_SIZES} SELECT DISTINCT n, ceil(n / 0.8::DOUBLE)::BIGINT AS jaccard, floor(n * ((2 - 0.8::DOUBLE) / 0.8::DOUBLE))::BIGINT AS dice, floor(n / (0.8::DOUBLE * 0.8::DOUBLE))::BIGINT AS cosine FROM s",
+    "hash_terms": f"WITH {_ORDERS} SELECT DISTINCT tok AS term_id, ((tok::HUGEINT * 2654435761) % 4294967296)::BIGINT AS hash FROM r",
+    "set_offsets": f"WITH {_ORDERS}, {_SIZES} SELECT sid AS set_id, n, (sum(n) OVER (ORDER BY sid) - n)::BIGINT AS start FROM s",
+    "text_lines": f"WITH {_ORDERS} SELECT row_number() OVER (ORDER BY sid) - 1 AS set_id, count(*) AS n, sum(tok)::BIGINT AS total FROM r GROUP BY sid",
+    "pair_lines_scored": _self_sql(_ORDERS, "sim >= 0.8::DOUBLE").replace("SELECT x, y, ov AS overlap, round(sim, 6) AS sim FROM j", "SELECT '(' || x || ', ' || y || '): ' || round(sim, 6) AS value FROM j"),
+    "pair_lines_plain": _self_sql(_ORDERS, "sim >= 0.8::DOUBLE").replace("SELECT x, y, ov AS overlap, round(sim, 6) AS sim FROM j", "SELECT y || ' ' || x AS value FROM j"),
+    **dict.fromkeys(("binary_auto", "binary_prefix", "binary_bitmap", "binary_naive"), _BINARY_SQL),
     "overlap_matrix": f"WITH {_USERS}, {_OVERLAPS} SELECT x, y, ov AS overlap FROM g",
     "verify_merge": f"WITH {_CUSTOMERS}, {_SIZES}, i AS (SELECT a.sid, count(*) AS c FROM r a JOIN r b ON a.sid + 1 = b.sid AND a.tok = b.tok GROUP BY 1) SELECT p.sid AS x, q.sid AS y, coalesce(i.c, 0) AS overlap FROM s p JOIN s q ON p.sid + 1 = q.sid LEFT JOIN i ON i.sid = p.sid",
     "matched_sets": _BY_NEED.format(d=_DOCS, s=_SIZES, g=_OVERLAPS, j=_SCORED, op="IN"),
