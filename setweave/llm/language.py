@@ -144,7 +144,8 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     names = sorted(r.lang for r in each.select("lang").collect())
     steps = 1 << 40
     share = F.pmod(F.xxhash64("doc_id"), F.lit(steps)).cast("double") / steps
-    rows = rows.join(each, "lang").filter(share * F.col("n") < max_train).repartition(COUNTERS)
+    # each has a row for each language, of which the model holds a table each
+    rows = rows.join(F.broadcast(each), "lang").filter(share * F.col("n") < max_train).repartition(COUNTERS)
     schema = "lang string, counts binary"
     got = rows.select("lang", "text").mapInArrow(_counts(names), schema).groupBy("lang").applyInArrow(_summed, schema).collect()
     got = sorted(got, key=lambda r: r.lang)
