@@ -66,15 +66,16 @@ def hashed(raw: DataFrame, *others: DataFrame) -> list[DataFrame]:
     """raw and the others as (set_id, n, terms), with terms in one order for all: rarest first over all of them.
 
     Terms are 64-bit hashes of the tokens (integers stay as they are), so that only numbers are sorted and shuffled; the order is
-    by frequency and then hash. Tokens that share a hash are found by a second one, and the hashes concerned replaced.
+    by frequency and then hash. Tokens that share a hash are found by a second one and hashed anew, from another seed (which must
+    come first: after the token it would leave equal hashes equal), until none do.
     """
     spark, kind = raw.sparkSession, raw.schema["token"].dataType.typeName()
     number = kind in ("byte", "short", "integer", "long")
-    twice: list[int] = []
+    shared: list[list[int]] = []
     while True:
         term = F.col("token").cast("long") if number else F.xxhash64("token")
-        if twice:
-            term = F.when(term.isin(twice), F.xxhash64("token", F.lit(len(twice)))).otherwise(term)
+        for seed, hashes in enumerate(shared, 1):
+            term = F.when(term.isin(hashes), F.xxhash64(F.lit(seed), "token")).otherwise(term)
         other = F.lit(0) if number else F.hash("token")
         rows = [materialised(r.select("set_id", term.alias("term"), other.alias("other"))) for r in (raw, *others)]
         every = rows[0]
@@ -88,7 +89,7 @@ def hashed(raw: DataFrame, *others: DataFrame) -> list[DataFrame]:
         out = [materialised(x.select("set_id", F.array_distinct("t.term").alias("terms"), "clash")) for x in packed]
         if number or all(x.filter("clash").isEmpty() for x in out):
             return [x.select("set_id", F.size("terms").cast("long").alias("n"), "terms") for x in out]
-        twice += [r.term for r in df.filter("lo <> hi").select("term").collect()]  # a few, however many tokens there are
+        shared.append([r.term for r in df.filter("lo <> hi").select("term").collect()])  # a few, however many tokens there are
 
 
 def entries(sets: DataFrame) -> DataFrame:

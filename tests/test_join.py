@@ -113,10 +113,18 @@ def test_hashed_sets_are_in_one_order_for_all(spark, monkeypatch):
 
 def test_tokens_that_share_a_hash_are_told_apart(spark, monkeypatch):
     real = F.xxhash64
-    monkeypatch.setattr(prepare.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(7)) if len(c) == 1 else real(*c))
+
+    def weak(*columns):
+        """7 hashes of a token, which stay shared whatever follows the token, and 5 from the first other seed."""
+        if isinstance(columns[0], str):
+            return real(F.pmod(real(columns[0]), F.lit(7)), *columns[1:])
+        return F.pmod(real(*columns), F.lit(5)) if str(columns[0]) == str(F.lit(1)) else real(*columns)
+
+    monkeypatch.setattr(prepare.F, "xxhash64", weak)
     raw = spark.createDataFrame([(i, f"w{j}") for i in range(12) for j in range(i + 1)], "set_id long, token string")
-    sets = prepare.hashed(raw)[0]
-    assert {r.set_id: r.n for r in sets.collect()} == {i: i + 1 for i in range(12)}
+    sets = {r.set_id: r.terms for r in prepare.hashed(raw)[0].collect()}
+    assert {k: len(set(t)) for k, t in sets.items()} == {i: i + 1 for i in range(12)}
+    assert all(set(sets[i]) < set(sets[i + 1]) for i in range(11))
 
 
 @pytest.mark.parametrize(("sim", "value"), [(DICE, lambda o, a, b: Fraction(2 * o, a + b)), (COSINE, lambda o, a, b: (Fraction(o * o, a * b)))])
