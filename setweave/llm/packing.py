@@ -6,10 +6,10 @@ go into sequences at most two at a time: from the largest on, each takes the lar
 pieces then go, from the largest on, into the smallest gap that holds them. All sequences with one history are handled as
 one range of numbers, so the plan's size depends on the number of lengths and not of pieces. Each piece gets its rank
 among the pieces of its length (counted in parts of bounded size, whose offsets are running sums), and the plan gives
-the rank's sequence and offset.
+the rank's sequence and offset. Parts are dealt by a written number of the piece, so that ids that are null or repeat are spread.
 
-Null texts count as empty: they are one piece holding the end id alone. Equal lengths are ordered by doc_id, piece, start
-and checksum; rows that are repeated get places of their own. An empty table gives an empty result. Only doc_id and text
+Null texts count as empty: they are one piece holding the end id alone. Equal lengths are ordered by part, doc_id, piece,
+start and checksum; rows that are repeated get places of their own. An empty table gives an empty result. Only doc_id and text
 are read.
 
 Words are looked up in a table of the words met so far in the task, of at most CACHE entries; texts with characters
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setweave.llm.common import Scratch
+from setweave.llm.common import KEY, Scratch, keyed
 
 CAPACITY, END_ID, CACHE, PART = 4096, 1, 300_000, 200_000
 TOKENIZER = "word_bpe_49k.json"
@@ -200,10 +200,10 @@ def pack(docs: DataFrame, path: str | None = None, scratch: Scratch | None = Non
         path = public_tokenizers.path(TOKENIZER)
     scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.save(texts.mapInArrow(_cut(path), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = keyed(texts.mapInArrow(_cut(path), "doc_id long, piece int, start long, length long, ids_crc32 long"), scratch)
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
     parts = 1 + max(counts.values(), default=0) // PART
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(KEY), F.lit(parts)))
     before = pieces.groupBy("length", "part").count()
     running = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = before.select("length", "part", (F.sum("count").over(running) - F.col("count")).alias("before"))

@@ -1,7 +1,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -106,6 +106,18 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_pieces_that_share_an_id_get_places_of_their_own_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 10)
+    table = spark.createDataFrame([(None, None)] * 60 + [(None, "word")] * 30 + [(3, "one two")] * 30, "doc_id long, text string")
+    got = [(r.doc_id, r.length, r.sequence_id, r.offset) for r in packing.pack(table).collect()]
+    assert Counter((d, n) for d, n, _, _ in got) == {(None, 1): 60, (None, 2): 30, (3, 3): 30}
+    assert len({s for _, _, s, _ in got}) == 1
+    at = 0
+    for offset, n in sorted((o, n) for _, n, _, o in got):
+        assert offset == at
+        at += n
+
+
 def test_added_tokens_are_encoded_as_the_plain_tokenizer_does(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
