@@ -5,15 +5,14 @@ pattern there is a table of shifts by block (the last two words looked at): a bl
 skip length - 1 words, and one that ends a pattern selects the bucket of its patterns, whose words are then compared
 one by one with the text's. Hashes only choose; bytes decide.
 
-Patterns are sent to the tasks in groups of at most GROUP_BYTES of item text, whatever the number of items, and the
-hits of several groups are merged by row. Null or empty texts have no words; items without words, and those with a null id,
-can't occur; an empty benchmark leaves all documents clean. Repeated items count separately when their ids differ.
-Only ids and texts are read. Repeated or null doc_ids are kept as rows of their own.
+Patterns are sent to the tasks in groups of about GROUP_BYTES of item text, whatever the number of items, as arrays of
+some 50 bytes a window. The hits of several groups are merged by row. Null or empty texts have no words; items without
+words, and those with a null id, can't occur; an empty benchmark leaves all documents clean. Repeated items count
+separately when their ids differ. Only ids and texts are read. Repeated or null doc_ids are kept as rows of their own.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from itertools import pairwise
 
 import numpy as np
@@ -26,33 +25,67 @@ from setweave.llm.common import ALNUM_OR_HIGH, KEY, U64, Scratch, keyed, mix, sl
 WINDOW, GROUP_BYTES = 13, 16 << 20
 
 
+def spaced(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words one blank apart, and where each begins; no word holds a blank, so runs of words are equal as their bytes are."""
+    step = np.zeros(len(buf), np.int8)
+    step[start], step[end] = 1, -1
+    word = np.cumsum(step, dtype=np.int8).astype(bool)
+    keep = word.copy()
+    keep[end] = True
+    out = np.where(word, buf, np.uint8(32))[keep].tobytes()
+    size = end - start + 1
+    return out, np.append(0, np.cumsum(size))
+
+
 class WuManber:
-    """All patterns (tuples of words, as bytes) of one length, by hashes of their words."""
-
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[str]], hashes: dict[bytes, int]):
-        self.length, self.block = length, min(2, length)
-        self.skip = length - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.bucket: dict[int, list[tuple[int, tuple[bytes, ...], set[str]]]] = defaultdict(list)
-        for words, items in patterns.items():
-            h = np.array([hashes[w] for w in words], U64)
-            blocks = block_hashes(h, self.block).tolist()
-            for end in range(self.block - 1, length):
-                far = length - 1 - end
-                self.shift[blocks[end]] = min(far, self.shift.get(blocks[end], self.skip))
-            self.bucket[blocks[-1]].append((int(h[0]), words, items))
-
-    def occurrences(self, blocks: list[int], hashes: list[int], word):
-        at, end, length, shift, skip = self.length - 1, len(blocks), self.length, self.shift, self.skip
-        while at < end:
-            step = shift.get(blocks[at], skip)
-            if step:
-                at += step
+    """All windows of one length over the items' words, as arrays: their hashes h and they themselves, spaced, with their starts.
+
+    at: the first words of the windows, item: the numbers of their items. Equal windows (told by hash, confirmed by their bytes)
+    are one pattern. Windows that share a slot of the shift table get the smaller shift, so none is skipped.
+    """
+
+    def __init__(self, length: int, words: tuple, at: np.ndarray, item: np.ndarray, names: list[str]):
+        self.length, self.block, self.names = length, min(2, length), names
+        self.text, self.start, h = words
+        blocks = block_hashes(h, self.block)
+        whole = np.zeros(len(at), U64)
+        for k in range(length):
+            whole = mix(whole * U64(0x9E3779B97F4A7C15) + h[at + k])
+        suffix = blocks[at + length - 1]
+        order = np.lexsort((item, whole, suffix))
+        at, item, whole, suffix = at[order], item[order], whole[order], suffix[order]
+        same = np.zeros(len(at), bool)
+        same[1:] = (whole[1:] == whole[:-1]) & (suffix[1:] == suffix[:-1])
+        for k in np.flatnonzero(same).tolist():
+            same[k] = self.window(at[k]) == self.window(at[k - 1])
+        head = np.flatnonzero(~same)
+        self.at, self.key, self.item, self.bound = at[head], suffix[head], item.astype(np.int32), np.append(head, len(at))
+        self.mask = U64((1 << max(10, int(4 * len(head)).bit_length())) - 1)
+        self.shift = np.full(int(self.mask) + 1, length - self.block + 1, np.uint8)
+        for last in range(self.block - 1, length):  # shifts get smaller, so the smallest stays
+            self.shift[blocks[self.at + last] & self.mask] = length - 1 - last
+
+    def window(self, k: int) -> bytes:
+        return self.text[self.start[k] : self.start[k + self.length]]
+
+    def occurrences(self, blocks: np.ndarray, text: bytes, start: list[int]):
+        """(first word, word after the last, names of the items) in a text of these blocks whose words begin there."""
+        n = len(blocks)
+        if n < self.length:
+            return
+        steps = self.shift[blocks & self.mask]
+        stops = np.flatnonzero(steps == 0)
+        low, high = (np.searchsorted(self.key, blocks[stops], side).tolist() for side in ("left", "right"))
+        place, steps, at = dict(zip(stops.tolist(), zip(low, high, strict=True), strict=True)), steps.tolist(), self.length - 1
+        while at < n:
+            if steps[at]:
+                at += steps[at]
                 continue
-            begin = at - length + 1
-            for first, words, items in self.bucket[blocks[at]]:
-                if hashes[begin] == first and all(word(begin + k) == w for k, w in enumerate(words)):
-                    yield begin, at + 1, items
+            begin = at - self.length + 1
+            said = text[start[begin] : start[at + 1]]
+            for k in range(*place[at]):
+                if said == self.window(self.at[k]):
+                    yield begin, at + 1, {self.names[i] for i in self.item[self.bound[k] : self.bound[k + 1]]}
             at += 1
 
 
@@ -66,30 +99,41 @@ def block_hashes(h: np.ndarray, block: int) -> np.ndarray:
 
 
 def searchers(items: list[tuple[str, str | None]]) -> list[WuManber]:
-    patterns: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    known: dict[bytes, int] = {}
-    for first, held in sliced([t for _, t in items]):
+    names, parts, n, size = [i for i, _ in items], [], [np.zeros(0, np.int64)], 0
+    for _, held in sliced([t for _, t in items]):
         buf, start, end, h, bound = words_of(held, ALNUM_OR_HIGH)
-        words = [buf[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        known.update(zip(words, h.tolist(), strict=True))
-        for k, (s, e) in enumerate(pairwise(bound.tolist())):
-            length = min(WINDOW, e - s)
-            for at in range(s, e - length + 1) if length else ():
-                patterns[length][tuple(words[at : at + length])].add(items[first + k][0])
-    return [WuManber(n, p, known) for n, p in sorted(patterns.items())]
+        own, start = spaced(buf, start, end)
+        parts.append((own, start[:-1] + size, h))
+        n.append(np.diff(bound))
+        size += len(own)
+    if not parts:
+        return []
+    text = b"".join(x[0] for x in parts)
+    start, h = np.append(np.concatenate([x[1] for x in parts]), size), np.concatenate([x[2] for x in parts])
+    n = np.concatenate(n)
+    bound = np.append(0, np.cumsum(n))
+    length, found = np.minimum(n, WINDOW), []
+    for words in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == words)
+        count = n[own] - words + 1
+        item = np.repeat(own, count)
+        at = bound[item] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found.append(WuManber(words, (text, start, h), at, item, names))
+    return found
 
 
 def _occurrences(found: list[WuManber], texts):
     """(index of the first text, numbers of words, merged spans of words hit, items that occur) by slices of texts."""
     for first, held in sliced(texts):
         buf, start, end, h, bound = words_of(held, ALNUM_OR_HIGH)
-        word = lambda k, buf=buf, start=start, end=end: buf[start[k] : end[k]].tobytes()
+        text, start = spaced(buf, start, end)
+        start = start.tolist()
         blocks = {b: block_hashes(h, b) for b in {x.block for x in found}}
         spans, items = [], []
         for s, e in pairwise(bound.tolist()):
-            own, hits, named = h[s:e].tolist(), [], set()
+            own, hits, named = start[s : e + 1], [], set()
             for x in found:
-                for a, b, names in x.occurrences(blocks[x.block][s:e].tolist() if e - s >= x.length else [], own, lambda k, s=s: word(s + k)):
+                for a, b, names in x.occurrences(blocks[x.block][s:e], text, own):
                     hits.append((a, b))
                     named |= names
             merged: list[list[int]] = []
