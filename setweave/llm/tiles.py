@@ -8,9 +8,10 @@ each sum stays below 2**24 and is exact, and in double precision across these; S
 precision arithmetic around it, for any length of vector.
 
 Vectors are grouped around pivots into blocks of at most about BLOCK rows, so that a block pair whose cones lie further
-apart than the threshold's angle is skipped by the triangle inequality for angles. Each remaining block pair is one
-task's tile. A tile returns one row for each vector and the edges of a spanning forest, never all its pairs; equal
-vectors are counted once with their number, so large groups of copies cost one row.
+apart than the threshold's angle is skipped by the triangle inequality for angles. Lengths of vectors with fewer than 8 *
+BLOCK rows have no pivots and share one job. Each remaining block pair is one task's tile. A tile returns one row for each
+vector and the edges of a spanning forest, never all its pairs; equal vectors are counted once with their number, so large
+groups of copies cost one row.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of unlike
 lengths do not link with each other. Every row is a vector of its own, also where its id is null or repeats that of another
@@ -140,6 +141,16 @@ def _homes(pivots: np.ndarray):
     return homes
 
 
+def _few(sized: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Rows by tile of the lengths too rare for pivots, all of them in one job: a length's tiles are all pairs of its parts."""
+    rows = sized.join(lengths.select("cell", F.ceil(F.col("n") / BLOCK).alias("parts")), "cell")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("mate_part"))
+    name = lambda p: F.col("cell") * F.lit(1 << 32) + F.col(p)
+    rows = rows.withColumn("block", name("part")).withColumn("other", name("mate_part"))
+    return rows.select("id", "v", "copies", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_links, component) for each row."""
     spark = table.sparkSession
@@ -150,11 +161,13 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # equal vectors are one; they are told apart by a number of their own, as ids may be null or repeat
     distinct = good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     distinct = scratch.save(distinct.select(F.monotonically_increasing_id().alias("id"), "least", "v", "copies"))
-    per_length = distinct.groupBy(F.size("v").alias("length")).count().collect()
-    tiles = []
-    for length, n in sorted((r["length"], r["count"]) for r in per_length):
+    sized = distinct.select("id", "v", "copies", F.size("v").cast("long").alias("cell"))
+    per_length = scratch.save(sized.groupBy("cell").agg(F.count("*").alias("n")))
+    few = F.col("n") < 8 * BLOCK
+    tiles = [_few(sized, per_length.filter(few)).groupBy("x", "y").applyInArrow(_tile(threshold), "id long, links long, other long")]
+    for length, n in sorted(tuple(r) for r in per_length.filter(~few).collect()):
         one = distinct.select("id", "v", "copies").filter(F.size("v") == length)
-        k = min(MAX_PIVOTS, max(1, n // (4 * BLOCK)))
+        k = min(MAX_PIVOTS, n // (4 * BLOCK))
         pivots = unit([r.v for r in one.orderBy(F.xxhash64("v"), "id").limit(k).collect()])
         placed = scratch.save(one.mapInArrow(_homes(pivots), "id long, v array<double>, copies long, cell long, angle double"))
         cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).orderBy("cell").collect()
@@ -173,8 +186,6 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         sent = sent.withColumn("block", name("cell", "part")).withColumn("other", name("mate", "mate_part"))
         sent = sent.select("id", "v", "copies", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
         tiles.append(sent.groupBy("x", "y").applyInArrow(_tile(threshold), "id long, links long, other long"))
-    if not tiles:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     found = tiles[0]
     for t in tiles[1:]:
         found = found.union(t)

@@ -170,8 +170,9 @@ def test_suffix_order_is_that_of_the_bytes():
     assert len(set(kind)) == len({raw[i : i + 50] for i in at})
 
 
-def test_vectors_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(tiles, "BLOCK", 16)
+@pytest.mark.parametrize("block", [4, 16])  # with pivots and without
+def test_vectors_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(tiles, "BLOCK", block)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 16))
     rows = [(k, [float(v) for v in base[k % 12] + rng.normal(size=16) * 0.2 * (k % 5)]) for k in range(70)]
