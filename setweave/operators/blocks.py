@@ -253,6 +253,18 @@ def _kernel(t: float, needed):
     return run
 
 
+def dealt(rows: DataFrame, parts: int, elements: int) -> DataFrame:
+    """rows in order of n in that many partitions of about as many elements each; a size that fills several is dealt by id."""
+    spark, sizes, start = rows.sparkSession, [], 0
+    for n, many in sorted(tuple(r) for r in rows.groupBy("n").count().collect()):  # a row for each size that sets have
+        sizes.append((n, start, many))
+        start += n * many
+    sizes = F.broadcast(spark.createDataFrame(sizes, "n long, start long, many long"))
+    place = F.col("start") + F.pmod(F.xxhash64("set_id"), F.col("many")) * F.col("n")
+    part = F.least(F.floor(place * F.lit(parts / max(1, elements))), F.lit(parts - 1)).cast("int")
+    return rows.join(sizes, "n").repartitionById(parts, part).select(*rows.columns)
+
+
 def found(sets: DataFrame, elements: int, t: float, sim: Similarity) -> DataFrame:
     """(set_id_x, set_id_y, n_x, n_y, overlap): all pairs that reach the smallest overlap of t, and no other; sets hold `elements` in all.
 
@@ -262,7 +274,7 @@ def found(sets: DataFrame, elements: int, t: float, sim: Similarity) -> DataFram
     bounds = [sim.maxsize(n, t, SLACK), sim.midprefix(n, t, SLACK), sim.maxprefix(n, t, SLACK)]
     columns = [n.cast("long"), *[c.cast("long").alias(k) for c, k in zip(bounds, _COLUMNS[1:], strict=True)]]
     rows = sets.filter(n > 0).select("set_id", *columns, "terms")
-    rows = rows.repartitionByRange(max(LEAST_BLOCKS, math.ceil(elements / BLOCK)), "n", "set_id")
+    rows = dealt(rows, max(LEAST_BLOCKS, math.ceil(elements / BLOCK)), elements)
     kind = "block long, sets long, words long, least long, reach long, blob binary"
     one = "1"
     with _settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
