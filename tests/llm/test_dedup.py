@@ -1,8 +1,11 @@
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +199,49 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 100), (60, 50)], "a long, b long")
     got = {r.id: r.component for r in connected_components(edges, Scratch(spark)).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 50: 50, 60: 50}
+
+
+def test_messages_cost_no_calls_of_their_own():
+    """Chunks times parts grow with the square of the input, so what Python does for a chunk must not grow with the parts."""
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(40)]
+    texts += texts[:10] + ["ab" * 4000]  # an anchor with over 255 occurrences
+
+    def told(tell, messages):
+        out, names = {}, sorted(set(messages["part"].to_pylist()))
+        for part in names:
+            for r in tell(messages.filter(pa.compute.equal(messages["part"], part))).to_pylist():
+                out.setdefault(r["chunk"], []).append(r["payload"])
+        return out
+
+    def counted(f):
+        n = 0
+
+        def see(frame, event, arg):
+            nonlocal n
+            n += event in ("call", "c_call")
+
+        sys.setprofile(see)
+        try:
+            out = f()
+        finally:
+            sys.setprofile(None)
+        return n, out
+
+    def run(parts):
+        docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+        (chunk,) = suffixes._pack([docs])
+        n, asked = counted(lambda: pa.Table.from_batches(suffixes._ask_anchors(parts)([chunk])))
+        row = chunk.to_pylist()[0] | {"anchors": told(suffixes._tell_anchors(50_000), asked)[0]}
+        (state,) = suffixes._share([pa.RecordBatch.from_pylist([row])])
+        row = state.to_pylist()[0] | {"windows": None}
+        m, asked = counted(lambda: pa.Table.from_batches(suffixes._ask_texts(parts)([pa.RecordBatch.from_pylist([row])])))
+        row["texts"] = told(suffixes._tell_texts, asked).get(0)
+        (out,) = suffixes._remove(parts)([pa.RecordBatch.from_pylist([row])])
+        return n, m, asked.num_rows, out.to_pydict()
+
+    few, many = run(2), run(2000)
+    assert few[3] == many[3] and sum(few[3]["n_removed"]) >= sum(map(len, texts[:10]))
+    assert few[2] <= 2 and many[2] > 500
+    assert many[0] < few[0] + 50 and many[1] < few[1] + 50
