@@ -1,6 +1,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,49 @@ def test_rows_of_one_id_are_one_set_and_shared_hashes_are_told_apart(spark, monk
     sets = {r.set_id: r.terms for r in prepare.hashed_rows(rows).collect()}
     assert {k: len(set(t)) for k, t in sets.items()} == {i: i + 1 for i in range(12)}
     assert all(set(sets[i]) < set(sets[i + 1]) for i in range(11))
+
+
+@pytest.mark.parametrize(("sim", "bits"), [(JACCARD, 64), (JACCARD, 130), (DICE, 64), (COSINE, 64)])
+def test_bitmap_candidates_go_block_against_block(spark, sim, bits):
+    """Every pair that the sizes and bitmaps allow and no other, without sending a row once for each part of the other side."""
+    lists = {k: sorted(set(v)) for k, v in enumerate(lists_of(3, 200)) if v}
+    sets = spark.createDataFrame([(k, len(v), v) for k, v in lists.items()], "set_id long, n long, terms array<long>")
+    width, t = -(-bits // 64) * 64, 0.6
+
+    def bitmap(terms):
+        out = 0
+        for v in terms:
+            out ^= 1 << v % width
+        return out
+
+    order = sorted(lists, key=lambda k: (len(lists[k]), k))
+    reach = {r.n: r.hi for r in sets.select("n", sim.maxsize(F.col("n"), t, 1e-9).cast("long").alias("hi")).distinct().collect()}
+    want = set()
+    for i, x in enumerate(order):
+        for y in order[i + 1 :]:
+            a, b = len(lists[x]), len(lists[y])
+            most = (a + b - (bitmap(lists[x]) ^ bitmap(lists[y])).bit_count()) / 2
+            if b <= reach[a] and most >= sim.needed(np.int64(a), np.int64(b), t):
+                want.add((x, y, a, b))
+    found = join.bitmap_candidates(sets, None, t, bits, sim)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("words", [8, 3000])
+def test_overlaps_of_most_pairs_go_block_against_block(spark, words):
+    """By products of few terms and by postings of many; sparse sets still meet by their terms."""
+    rng = random.Random(words)
+    lists = {k * 7 % 211: {rng.randrange(words) for _ in range(rng.randrange(1, 2 + words // 8))} | ({0} if k % 5 else set()) for k in range(200)}
+    sets = spark.createDataFrame([(k, len(v), sorted(v)) for k, v in lists.items()], "set_id long, n long, terms array<long>")
+    found = join.overlaps(sets)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "HashAggregate" not in plan
+    want = {(x, y, len(lists[x]), len(lists[y]), len(lists[x] & lists[y])) for x in lists for y in lists if x < y and lists[x] & lists[y]}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    alone = spark.createDataFrame([(k, 1, [k // 2]) for k in range(100)], "set_id long, n long, terms array<long>")
+    pairs = join.overlaps(alone)
+    assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.count() == 50
