@@ -41,7 +41,7 @@ def slack(d: int) -> float:
     return 1e-9 + 16 * d * np.finfo(np.float64).eps
 
 
-def unit(vectors: list) -> np.ndarray:
+def unit(vectors: list | np.ndarray) -> np.ndarray:
     x = np.asarray(vectors, np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -79,14 +79,21 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float):
     right = left if own else right
     qa, sa, ea = quantised(left)
     qb, sb, eb = (qa, sa, ea) if own else quantised(right)
+    most, step = eb.max(initial=0), sb.max(initial=0)
     for at in range(0, len(left), STRIP):
         rows = slice(at, at + STRIP)
-        bound = threshold - slack(left.shape[1]) - (ea[rows, None] + eb[None, :] + ea[rows, None] * eb[None, :])
         products = qa[rows, :EXACT] @ qb[:, :EXACT].T
         for k in range(EXACT, left.shape[1], EXACT):
             products = products.astype(np.float64) + qa[rows, k : k + EXACT] @ qb[:, k : k + EXACT].T
-        i, j = np.nonzero(products >= bound / (sa[rows, None] * sb[None, :]))
-        i += at
+        # the least that any column asks of a row, rounded down, in the products' own precision: few pairs are left to the bound itself
+        room = threshold - slack(left.shape[1]) - (ea[rows] + most + ea[rows] * most)
+        least = np.where(room > 0, room / (sa[rows] * step) * (1 - 1e-9), -np.inf).astype(products.dtype)
+        i, j = np.nonzero(products >= np.nextafter(least, -np.inf, dtype=products.dtype)[:, None])
+        near = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 18):
+            a, b = i[k : k + (1 << 18)] + at, j[k : k + (1 << 18)]
+            near[k : k + (1 << 18)] = products[a - at, b] >= (threshold - slack(left.shape[1]) - (ea[a] + eb[b] + ea[a] * eb[b])) / (sa[a] * sb[b])
+        i, j = i[near] + at, j[near]
         if own:
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 1 << 18):
@@ -101,7 +108,7 @@ def _tile(threshold: float):
         order = np.lexsort((np.asarray(group["id"]), block))
         group, block = group.take(pa.array(order)), block[order]
         ids, weight = np.asarray(group["id"]), np.asarray(group["copies"])
-        x = unit(group["v"].to_pylist())
+        x = unit(pa.concat_arrays(group["v"].chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))  # of one length
         cut = int(np.searchsorted(block, block[-1]))
         links, forest, edges = np.zeros(len(ids), np.int64), Forest(len(ids)), []
         within = group["x"][0].as_py() == group["y"][0].as_py()

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -245,3 +246,18 @@ def test_messages_cost_no_calls_of_their_own():
     assert few[3] == many[3] and sum(few[3]["n_removed"]) >= sum(map(len, texts[:10]))
     assert few[2] <= 2 and many[2] > 500
     assert many[0] < few[0] + 50 and many[1] < few[1] + 50
+
+
+def test_bounds_are_only_computed_for_pairs_that_may_reach_them():
+    rng = np.random.default_rng(5)
+    x = tiles.unit(rng.normal(size=(4096, 64)))
+    x[1000:1400] = tiles.unit(x[:400] + 0.06 * rng.normal(size=(400, 64)))
+    cosines = x @ x.T
+    want = {(i, j) for i, j in zip(*np.nonzero(cosines >= 0.9), strict=True) if i < j}
+    del cosines
+    tracemalloc.start()
+    got = {(int(a), int(b)) for i, j in tiles.tile_links(x, None, 0.9) for a, b in zip(i, j, strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and len(want) > 100
+    assert peak < 2.5 * 4 * tiles.STRIP * 4096  # one strip's products and marks, no table of bounds in double precision
