@@ -122,7 +122,7 @@ def _vocabulary(batches):
     for batch in batches:
         held.append([np.asarray(batch[c].flatten()) for c in ("terms", "others")])
         size += len(held[-1][0])
-        if size > 1 << 22:
+        if size > 1 << 20:
             yield counted()
             held, size = [], 0
     if size:
