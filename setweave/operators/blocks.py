@@ -26,7 +26,7 @@ from setweave.plans.stage import materialised
 
 #: Elements of a block; files that even small tables are packed into, so that several tasks get pairs of them; files up to which each
 #: holds a block alone, and blocks of a file where there are more than it times that.
-BLOCK, LEAST_FILES, FILES, EACH = 5 << 17, 4, 12, 16
+BLOCK, LEAST_FILES, FILES, EACH = 1 << 20, 4, 12, 8
 #: A row group for each block, which is compressed already.
 _ALONE = {"parquet.block.size": str(1 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "compression": "none"}
 #: Pairs of postings, and of sets, that are handled at once.
@@ -108,7 +108,7 @@ def _lean() -> None:
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # not everywhere
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
         libc.malloc_trim(0)
 
 

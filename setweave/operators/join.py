@@ -143,16 +143,20 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame | None = None)
     return both.withColumn("overlap", F.size(F.array_intersect("terms_x", "terms_y")).cast("long")).drop("terms_x", "terms_y")
 
 
+def _large(sets: DataFrame, sim: Similarity) -> int:
+    """The elements of sets, if their self-join goes block against block."""
+    many, elements = sets.agg(F.count("*"), F.sum("n")).first() if hasattr(sim, "needed") else (0, 0)
+    return elements if many and elements >= LARGE * many else 0
+
+
 def candidates_of(left: DataFrame, right: DataFrame | None, t: float, strategy: str, bits: int = 64, sim: Similarity = JACCARD) -> DataFrame:
     """Pairs that may reach t; with their overlap already, where the strategy counts it."""
     if not 0 < t <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     if strategy == "auto":
         strategy = choose(entries(left), None if right is None else entries(right))
-    if right is None and strategy in STRATEGIES and hasattr(sim, "needed"):
-        sets, elements = left.agg(F.count("*"), F.sum("n")).first()
-        if sets and elements >= LARGE * sets:
-            return blocks.found(left, elements, t, sim)
+    if right is None and strategy in STRATEGIES and (elements := _large(left, sim)):
+        return blocks.found(left, elements, t, sim)
     if strategy in ("naive", "size"):
         return overlaps(left, right, t if strategy == "size" else None, sim)
     if strategy not in STRATEGIES:
@@ -193,7 +197,16 @@ def count_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n_pairs"))
 
 
-def matched(sets: DataFrame, pairs: DataFrame, anti: bool = False) -> DataFrame:
-    """The sets with a partner in a self-join's pairs, or those without."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("set_id"))
-    return sets.join(ids, "set_id", "left_anti" if anti else "left_semi")
+def partners(sets: DataFrame, t: float, boundary: str = "ge", strategy: str = "auto", bits: int = 64, float32: bool = False, sim: Similarity = JACCARD) -> DataFrame:
+    """(set_id) of the sets in a self-join's pairs, once each; of large sets the pairs aren't listed for it."""
+    if 0 < t <= 1 and strategy in ("auto", *STRATEGIES) and (elements := _large(sets, sim)):
+        found = blocks.found(sets, elements, t, sim, pairs=False)
+        found = found.filter(passes(F.col("overlap"), F.col("n_x"), F.col("n_y"), t, boundary, float32, sim))
+        return found.select("set_id").distinct()
+    pairs = self_join(sets, t, boundary, strategy, bits, float32, sim)
+    return pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
+
+
+def matched(sets: DataFrame, partnered: DataFrame, anti: bool = False) -> DataFrame:
+    """The sets (set_id, ...) that are among the partnered, or the others. Both are shuffled: the ids are as many as sets, so none are sent to the driver."""
+    return sets.join(partnered.hint("merge"), "set_id", "left_anti" if anti else "left_semi")

@@ -152,7 +152,7 @@ def _postings(spark, sf):
 def _matched(anti):
     def run(spark, sf):
         sets = _sets(_doc_rows(spark, sf))
-        return join.matched(sets.select("set_id", "n"), join.self_join(sets, 0.8, strategy="prefix"), anti)
+        return join.matched(sets.select("set_id", "n"), join.partners(sets, 0.8, strategy="prefix"), anti)
 
     return run
 
